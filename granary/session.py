@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` marked for broadcasting if its rows, as JSON text, hold at most ``most_bytes``; else as it is, to be joined by shuffle.
+
+    Meant for materialised tables: the size is measured by one aggregation.
+    """
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(df) if size <= most_bytes else df
