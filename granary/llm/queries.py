@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granary.functions.normalize import category, digest, phash_bits, plain_path, specimen_name, split_name
 from granary.llm.components import pruned_components, star_components
+from granary.llm.leakage import leaks
 from granary.llm.hamming import cross_split_overlap, nearest_neighbours
+from granary.llm.pii import personal_information
+from granary.llm.quantiles import digests, exact_quantile, merge, percentiles, valid
+from granary.llm.splits import assign_splits, related, split_conflicts
+from granary.llm.tokens import encode_corpus
 from granary.session import cut, table
 
 
@@ -48,5 +53,87 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return cross_split_overlap(split_images(spark, sf)).select("image_a", "image_b").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found}
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Images of the split manifest with the two entities that relate them: content and the fruit's specimen."""
+    fruit, specimen = category(F.col("fruit")), specimen_name(F.col("specimen"))
+    return table(spark, sf, "baseline_manifest").select(F.col("image_id").alias("id"), split_name(F.col("split")).alias("split"), fruit.alias("fruit"), digest(F.col("sha256")).alias("sha"), F.to_json(F.struct(fruit.alias("f"), F.when(fruit.isNotNull(), specimen).alias("s"))).alias("piece"), specimen.isNotNull().alias("known")).withColumn("piece", F.when(F.col("known") & F.col("fruit").isNotNull(), F.col("piece"))).drop("known")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Images whose group of related images holds at least two different splits."""
+    m = manifest(spark, sf)
+    return split_conflicts(m, related(m, ["sha", "piece"])).select(F.col("id").alias("image_id"))
+
+
+def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The new split of every image: related images stay together, shares near 77, 17 and 6 percent within each fruit."""
+    m = manifest(spark, sf)
+    return assign_splits(m, cut(related(m, ["sha", "piece"])), "fruit").select(F.col("id").alias("image_id"), F.col("root").alias("group_id"), "split")
+
+
+def timings(spark: SparkSession, sf: str) -> DataFrame:
+    """``(result_id, method, field, day, value)`` of all valid timings; repeated rows count once, null methods have no row."""
+    rows = table(spark, sf, "result_rows").select("result_id", category(F.col("method")).alias("method"), F.to_date("created_at").alias("day"), "processing_ms", "prediction_ms").where("method is not null").distinct()
+    long = rows.select("result_id", "method", "day", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("processing_ms", "prediction_ms")])).alias("e"))
+    return long.select("result_id", "method", "e.field", "day", "e.value").where(valid(F.col("value")))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid timings above ten times the median of their method and field: digests of days, merged, then one exact pass."""
+    values, keys = cut(timings(spark, sf)), ["method", "field"]
+    digest = merge(digests(values, [*keys, "day"]), keys)
+    medians = exact_quantile(values, keys, 0.5, digest=digest)
+    return values.join(medians, keys).where(F.col("value") > 10 * F.col("quantile")).select("result_id", "field").distinct()
+
+
+def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Median, 90th, 95th and 99th percentile per method and field, from the merged digests of single days."""
+    return percentiles(merge(digests(timings(spark, sf), ["method", "field", "day"]), ["method", "field"]), ["method", "field"], [0.5, 0.9, 0.95, 0.99])
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation images with a training counterpart, and the pairs, per evaluation split, source and kind of evidence."""
+    images = split_images(spark, sf)
+    pairs = cut(cross_split_overlap(images))
+    held = images.where("split in ('validation', 'test')").select("image_id", "split", "source").distinct()
+    sides = pairs.select(F.explode(F.array("image_a", "image_b")).alias("image_id"), "evidence")
+    return sides.join(held, "image_id").groupBy("split", "source", "evidence").agg(F.countDistinct("image_id").alias("n_images"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document by the byte-level vocabulary."""
+    return encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def all_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold at least ten consecutive words of an item: alignments around rare seeds, then the exact run."""
+    return all_leaks(spark, sf).where((F.col("score") >= 20) & (F.col("verbatim_run") >= 10)).select("doc_id", "item_id").distinct()
+
+
+def p8_alignments(spark: SparkSession, sf: str) -> DataFrame:
+    """Edited and verbatim copies with their best local alignment; a score of 2 per item word is a full verbatim copy."""
+    return all_leaks(spark, sf).where("score >= 20").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("verbatim_run").alias("verbatim_run"), F.max("item_words").alias("item_words"))
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each test item with the number of documents it leaked into; 0 for none."""
+    found = p8_found(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return table(spark, sf, "eval_items").select("item_id", "subset").distinct().join(found, "item_id", "left").select("item_id", "subset", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each distinct piece of personal information of each document."""
+    return personal_information(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "name_lexicon"))
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with personal information replaced by typed placeholders."""
+    return personal_information(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "name_lexicon"), replace=True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p5_found, p5_percentiles, p6_found, p6_report, p7_ids, p8_found, p8_alignments, p8_items, p9_found, p9_redacted)}
 SQL: dict[str, str] = {}
