@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("audit", "nested")
+_PARTS = ("audit", "nested", "evaluation", "manifests", "measures")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
