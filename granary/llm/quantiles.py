@@ -8,6 +8,8 @@ rank of any answer is off by at most ``BITS * n / k``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -123,14 +125,13 @@ def exact_quantile(values: DataFrame, keys: list[str], q: float, value: str = "v
     Only values inside the bracket, at most the rank error and one leaf, are counted by value and ordered; repeated values
     cost one row.
     """
+    own = [f"__key{i}" for i in range(len(keys))]
     found = brackets(digest if digest is not None else digests(values, keys, value, k), keys, [q])
+    found = found.select(*[F.col(x).alias(y) for x, y in zip(keys, own)], "n", "q", "rank_lo", "rank_hi", "leaf_lo", "leaf_hi")
     part = ", ".join(f"`{x}`" for x in keys)
-    same = [values[x].eqNullSafe(found[x]) for x in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    leaf = leaf_of(values[value])
-    near = values.where(valid(F.col(value))).join(found, cond).where(leaf <= F.col("leaf_hi")).select(*[found[x] for x in keys], "n", "q", "rank_lo", "rank_hi", F.when(leaf >= F.col("leaf_lo"), values[value]).alias("v"))
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(keys, own)])
+    leaf = leaf_of(F.col("__value"))
+    near = values.where(valid(F.col(value))).select(*keys, F.col(value).alias("__value")).join(found, same).where(leaf <= F.col("leaf_hi")).select(*keys, "n", "q", "rank_lo", "rank_hi", F.when(leaf >= F.col("leaf_lo"), F.col("__value")).alias("v"))
     counts = near.groupBy(*keys, "n", "q", "rank_lo", "rank_hi", "v").agg(F.count(F.lit(1)).alias("c"))
     cum = counts.withColumn("upto", F.expr(f"sum(c) over (partition by {part} order by v nulls first)"))
     at = lambda r: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > F.col(r)), F.col("v")))
