@@ -119,6 +119,7 @@ _SHAPED_ID = re.compile(rf"(?<![\w.+/#-])(?P<id>{'|'.join(s.replace('{g}', '2')
 
 _WORD = r"[^\W\d_][^\W\d_'-]*(?:['-][^\W\d_]+)*"
 _CAP = rf"(?-i:[A-ZÀ-ÖØ-Þ])[^\W\d_]*(?:['-][^\W\d_]+)*"
+_CAP2 = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['-][^\W\d_]+)*"
 _STREET_END = r"(?:street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr\.?|close|way|court|ct\.?|place|crescent|terrace|boulevard|blvd\.?|square)"
 _STREET = (
     rf"\d{{1,4}}[A-Z]?\s+(?:{_WORD}\s+){{1,3}}?{_STREET_END}(?!\w)"
@@ -134,10 +135,19 @@ _ADDRESS = re.compile(rf"(?<![\w./#-])(?:(?:flat|apt\.?|apartment|unit|suite)\s+
 # --- names -------------------------------------------------------------------------------------------------------------
 
 _PARTICLE = r"(?:van|von|der|den|de|del|della|di|la|le|du|dos|da)"
-_FAMILY = rf"(?:{_PARTICLE}\s+){{0,3}}{_WORD}"
 _INITIAL = r"[^\W\d_]\."
-_NAME = rf"(?:{_FAMILY},\s+(?:{_WORD}(?:\s+(?:{_INITIAL}|{_WORD}))?|{_INITIAL}(?:\s?{_INITIAL})?)|(?:{_INITIAL}(?:\s?{_INITIAL})?|{_WORD}(?:\s+(?:{_INITIAL}|{_WORD}))?)\s+{_FAMILY})"
+
+
+def _name(gap: str = r"\s+", word: str = _WORD) -> str:
+    """Pattern of a full name: given or initial, middle, family with particles; or family, given."""
+    family = rf"(?:{_PARTICLE}{gap}){{0,3}}{word}"
+    initials = rf"{_INITIAL}(?:\s?{_INITIAL})?"
+    return rf"(?:{family},{gap}(?:{word}(?:{gap}(?:{_INITIAL}|{word}))?|{initials})|(?:{initials}|{word}(?:{gap}(?:{_INITIAL}|{word}))?){gap}{family})"
+
+
+_NAME = _name()
 _TITLE = r"(?:mrs|mr|ms|miss|dr|prof|frau|herrn?|señora|señor|sra|sr|mme|mlle)\.?\s+"
+_PROPER_TITLE = r"(?-i:Mrs|Mr|Ms|Miss|Dr|Prof|Frau|Herrn?|Señora|Señor|Sra|Sr|Mme|Mlle|MRS|MR|MISS|DR|PROF|FRAU|HERRN?)\.?\s+"
 #: Wordings that enclose a name: what comes before, what comes after (nothing: the end of the sentence or line).
 _FRAMES = (
     (r"\bask\s+", r"\s+about\b"),
@@ -156,11 +166,14 @@ _FRAMES = (
     (r"\b(?:kind\s+regards|regards|best\s+wishes|sincerely|grüßen|grüße|saludos|cordialement),?[ \t]*\r?\n\s*", r"(?=\s*(?:$|\r?\n))"),
     (r"(?:^|\n)--[ \t]*\r?\n", r"\s*\|"),
 )
-_FRAME = [re.compile(rf"(?:{a})(?P<name>{_NAME}){b}", re.I) for a, b in _FRAMES]
+#: Signatures stand on one line.
+_ON_LINE = _name(r"[^\S\r\n]+")
+_FRAME = [re.compile(rf"(?:{a})(?P<name>{_ON_LINE if 'regards' in a or '--' in a else _NAME}){b}", re.I) for a, b in _FRAMES]
 #: A cheap test for each frame, so that its pattern runs only where it can match.
 _CUES = ("about", "grower", "duty", "goes", "picker", "reviewer", "shot", "met", "wrote", None, "rückfragen", "pregunte", "contactez", ("regards", "wishes", "sincerely", "grüße", "saludos", "cordialement"), "--")
-_TITLED = re.compile(rf"\b{_TITLE}(?P<name>(?:{_INITIAL}|(?-i:[A-ZÀ-Þ])[^\W\d_'-]*(?:['-][^\W\d_]+)*)(?:\s+(?:{_INITIAL}|{_CAP}))?\s+(?:{_PARTICLE}\s+){{0,3}}{_CAP})", re.I)
-_LINE_NAME = re.compile(rf"(?:^|\n)[ \t]*(?P<name>{_NAME})[ \t]*\r?\n", re.I)
+_WRITER = re.compile(rf"(?<![\w.])(?P<name>{_name(word=_CAP2)})\s+wrote\s+that\b")
+_TITLED = re.compile(rf"\b{_PROPER_TITLE}(?P<name>(?:{_INITIAL}|(?-i:[A-ZÀ-Þ])[^\W\d_'-]*(?:['-][^\W\d_]+)*)(?:\s+(?:{_INITIAL}|{_CAP}))?\s+(?:{_PARTICLE}\s+){{0,3}}{_CAP})", re.I)
+_LINE_NAME = re.compile(rf"(?:^|\n)[ \t]*(?P<name>{_ON_LINE})[ \t]*\r?\n", re.I)
 _TOKEN = re.compile(rf"{_WORD}")
 _SPACED = re.compile(r"\s+")
 _MIDDLE = re.compile(rf"\s+(?:{_INITIAL}|{_WORD})?\s*")
@@ -283,6 +296,8 @@ def find_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     for cue, frame in zip(_CUES, _FRAME):
         if cue is None or (cue in low if isinstance(cue, str) else any(c in low for c in cue)):
             names += [m.span("name") for m in frame.finditer(t)]
+    if "wrote" in low:
+        names += [m.span("name") for m in _WRITER.finditer(t)]
     names += [m.span("name") for m in _TITLED.finditer(t)]
     if taken:
         names += _signatures(t, taken)

@@ -136,4 +136,31 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p5_found, p5_percentiles, p6_found, p6_report, p7_ids, p8_found, p8_alignments, p8_items, p9_found, p9_redacted)}
-SQL: dict[str, str] = {}
+
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '[\\/]+', '/', 'g'), '^(\./)+', ''), '/(\./)+', '/', 'g')"
+_CODE = r"""
+codes AS (SELECT DISTINCT image_id, s, px, CASE WHEN regexp_full_match(c, '[0-9a-f]{1,16}') AND c <> repeat('0', length(c)) THEN ('0x' || c)::UBIGINT END AS code FROM (SELECT image_id,
+  replace(lower(regexp_replace(source_split, '^\s+|\s+$', '', 'g')), 'validation', 'val') AS s,
+  regexp_replace(lower(regexp_replace(pixel_sha256, '^\s+|\s+$', '', 'g')), '^sha256:\s*', '') AS px,
+  regexp_replace(regexp_replace(lower(regexp_replace(phash, '^\s+|\s+$', '', 'g')), '^0x', ''), '[\s:_.-]', '', 'g') AS c FROM audit_manifest WHERE image_id IS NOT NULL))
+"""
+_MEMBERS = r"""
+m AS (SELECT DISTINCT image_id, CASE WHEN s = 'val' THEN 'validation' WHEN s <> '' THEN s END AS split, CASE WHEN length(h) = 64 AND h <> repeat('0', 64) THEN h END AS sha,
+  CASE WHEN f <> '' AND p NOT IN ('', 'unknown', 'n/a') THEN f || '|' || p END AS piece
+  FROM (SELECT image_id, lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) AS s, lower(regexp_replace(fruit, '^\s+|\s+$', '', 'g')) AS f, lower(regexp_replace(specimen, '^\s+|\s+$', '', 'g')) AS p,
+    regexp_replace(lower(regexp_replace(sha256, '^\s+|\s+$', '', 'g')), '^sha256:\s*', '') AS h FROM baseline_manifest))
+"""
+_TIMES = r"""
+t AS (SELECT DISTINCT result_id, lower(regexp_replace(method, '^\s+|\s+$', '', 'g')) AS method, unnest(['processing_ms', 'prediction_ms']) AS field, unnest([processing_ms, prediction_ms]) AS v FROM result_rows WHERE method IS NOT NULL)
+"""
+_WINDOWS = "SELECT DISTINCT {k}, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {k}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}) WHERE len(w) >= 10)"
+#: Queries that SQL can express on whole tables; the others are tested against brute force, round trips and exact bounds.
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE l AS (SELECT DISTINCT p, q FROM (SELECT {_PLAIN.format(c='path_a')} AS p, {_PLAIN.format(c='path_b')} AS q FROM audit_pairs WHERE distance BETWEEN 0 AND 4) WHERE p <> '' AND q <> '' AND p <> q),
+      e AS (SELECT p, q FROM l UNION SELECT q, p FROM l), r AS (SELECT p AS path, p AS other FROM e UNION SELECT r.path, e.q FROM r JOIN e ON e.p = r.other) SELECT path, min(other) AS group_path FROM r GROUP BY path""",
+    "p2_found": f"WITH {_CODE}, n AS (SELECT a.image_id AS i, b.image_id AS j, bit_count(xor(a.code, b.code)) AS d FROM codes a JOIN codes b ON a.image_id <> b.image_id AND bit_count(xor(a.code, b.code)) <= 7 QUALIFY row_number() OVER (PARTITION BY a.image_id ORDER BY d, b.image_id) <= 5) SELECT DISTINCT least(i, j) AS image_a, greatest(i, j) AS image_b FROM n",
+    "p3_found": f"WITH RECURSIVE {_MEMBERS}, e AS (SELECT a.image_id AS i, b.image_id AS j FROM m a JOIN m b ON a.sha = b.sha UNION SELECT a.image_id, b.image_id FROM m a JOIN m b ON a.piece = b.piece), r AS (SELECT DISTINCT image_id AS i, image_id AS j FROM m UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j) SELECT r.i AS image_id FROM r JOIN m ON m.image_id = r.j GROUP BY 1 HAVING count(DISTINCT m.split) > 1",
+    "p5_found": f"WITH {_TIMES}, g AS (SELECT *, median(v) OVER (PARTITION BY method, field) AS mid FROM t WHERE v >= 0 AND isfinite(v)) SELECT DISTINCT result_id, field FROM g WHERE v > 10 * mid",
+    "p6_found": f"WITH {_CODE}, f AS (SELECT * FROM codes WHERE s = 'train'), h AS (SELECT * FROM codes WHERE s IN ('test', 'val')) SELECT DISTINCT least(f.image_id, h.image_id) AS image_a, greatest(f.image_id, h.image_id) AS image_b FROM f JOIN h ON f.image_id <> h.image_id AND (f.px = h.px AND length(f.px) = 64 OR bit_count(xor(f.code, h.code)) <= 4)",
+    "p8_found": f"WITH d AS ({_WINDOWS.format(k='doc_id', t='documents')}), i AS ({_WINDOWS.format(k='item_id', t='eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
+}
