@@ -85,11 +85,25 @@ def _strip_leaves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gone.select("child", "parent"), edges.join(gone.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _rank_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Removed chain vertices ``(child, parent)`` and the edges left, with one edge between the ends of every chain.
+def _arcs(state: DataFrame) -> tuple[int, int]:
+    """Number of arcs, and of those that don't know their end yet."""
+    r = state.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("end").isNull()).alias("open")).first()
+    return r["n"], r["open"]
+
+
+def _jump(state: DataFrame) -> DataFrame:
+    """One round of pointer jumping: an open arc takes over what the arc it points to knows."""
+    step = state.select(F.col("v").alias("pv"), F.col("h").alias("ph"), F.col("pv").alias("qv"), F.col("ph").alias("qh"), F.col("end").alias("e"))
+    moved = state.where("end is null").drop("end").join(step, ["pv", "ph"]).select("v", "h", F.col("qv").alias("pv"), F.col("qh").alias("ph"), F.col("e").alias("end"))
+    return state.where("end is not null").unionByName(moved)
+
+
+def _rank_chains(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Removed chain vertices ``(child, parent)``, None if there is no chain, and the edges left, with one edge between the
+    ends of every chain.
 
     A chain is a maximal path of degree-two vertices. Each of its vertices has two outgoing arcs; pointer jumping doubles the
-    reach of every arc per round until it knows the vertex behind the chain's end. Arcs on rings never end: once only such
+    reach of every arc per round, two rounds per checkpoint, until it knows the vertex behind the chain's end. Arcs on rings never end: once only such
     arcs are left, their number stands still and they stay in the core.
     """
     inner = _both_ways(edges).groupBy("v").agg(F.count(F.lit(1)).alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("d = 2")
@@ -101,13 +115,12 @@ def _rank_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.struct(F.col("b").alias("v"), F.col("a").alias("h"), F.col("oa").alias("ph"), F.col("ob").isNotNull().alias("ok")),
     )).alias("s")).where("s.ok").select("s.v", "s.h", F.when(F.col("s.ph").isNotNull(), F.col("s.h")).alias("pv"), "s.ph", F.when(F.col("s.ph").isNull(), F.col("s.h")).alias("end"))
     state = cut(first)
-    active = state.where("end is null").count()
+    arcs_left, active = _arcs(state)
+    if not arcs_left:
+        return None, edges
     while active:
-        done, open_ = state.where("end is not null"), state.where("end is null")
-        step = state.select(F.col("v").alias("pv"), F.col("h").alias("ph"), F.col("pv").alias("qv"), F.col("ph").alias("qh"), F.col("end").alias("e"))
-        moved = open_.drop("end").join(step, ["pv", "ph"]).select("v", "h", F.col("qv").alias("pv"), F.col("qh").alias("ph"), F.col("e").alias("end"))
-        nxt = cut(done.unionByName(moved))
-        left = nxt.where("end is null").count()
+        nxt = cut(_jump(_jump(state)))
+        _, left = _arcs(nxt)
         state = nxt
         if left == active:
             break
@@ -131,7 +144,7 @@ def pruned_components(edges: DataFrame, least_shrink: float = 0.1) -> DataFrame:
         leaves, rest = _strip_leaves(now)
         rest = cut(rest)
         chains, rest = _rank_chains(rest)
-        layers += [leaves, chains]
+        layers += [leaves] if chains is None else [leaves, chains]
         now, before = cut(rest), left
         left = now.count()
         if left > (1 - least_shrink) * before:
