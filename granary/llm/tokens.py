@@ -1,17 +1,17 @@
 """Token ids of a whole corpus by a public tokenizer, with reuse of content-defined chunks.
 
 Texts are cut where a rolling hash over the last bytes says so, so that equal passages give equal chunks wherever they
-stand. A chunk is encoded once per worker. Its inner part runs from its first to its last *firm* place, one where a
-blank or line end follows a visible ASCII character: the pre-tokenizer always splits there, whatever stands around, as its
-pattern looks ahead over white space only and never back. What lies between the last firm place of a chunk and the first of
-the next is the join; it is re-encoded as one text, over as many chunks as it takes to reach a firm place on both sides.
-The concatenation therefore equals the ids of the uncut text. There is no shuffle; a worker's dictionaries are bounded.
+stand, and each distinct chunk is encoded once per worker. A cut is a join that may split a token. It is repaired by moving it
+forward until re-encoding on both sides agrees with the uncut text: to the next *firm* place, one where a blank or line end
+follows a visible ASCII character. The pre-tokenizer always splits there, whatever stands around, as its pattern looks ahead
+over white space only and never back; a stretch without firm places stays one chunk. The concatenation therefore equals the
+ids of the uncut text. There is no shuffle, and a worker's dictionary is bounded.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from granary.functions.process import process_cache
 
-_FIRM = re.compile(rb"[!-~](?=[ \n])")
 _WINDOW = 16
 #: One of so many places is a cut.
-_MEAN = 64
+_MEAN = 128
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -44,70 +43,77 @@ def byte_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def cut_places(raw: bytes) -> np.ndarray:
-    """Ends of content-defined chunks of UTF-8 ``raw``, never inside a character; the end of ``raw`` isn't listed."""
-    if len(raw) < _WINDOW:
-        return np.empty(0, np.int64)
+def cut_places(raw: bytes) -> list[int]:
+    """Ends of the chunks of UTF-8 ``raw`` but the last, all at firm places."""
+    return batch_places(raw, np.array([0, len(raw)]))[0].tolist()
+
+
+def batch_places(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of many texts that lie side by side in ``raw``, as places in ``raw``, and where each text's begin.
+
+    Text ``i`` is ``raw[offsets[i]:offsets[i + 1]]``. Only whole windows inside one text count, so a place depends on its
+    text alone.
+    """
+    if len(raw) <= _WINDOW:
+        return np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
     b = np.frombuffer(raw, np.uint8)
     h = _GEAR[b]
     for shift in (1, 2, 4, 8):  # the sum of the last 16 bytes' numbers, each shifted by its distance
         h[shift:] = h[shift:] + (h[:-shift] << np.uint32(shift))
     hit = np.flatnonzero((h[_WINDOW - 1 : -1] >> np.uint32(20)) % _MEAN == 0) + _WINDOW
-    return hit[(b[hit] & 0xC0) != 0x80]
+    firm = np.flatnonzero((b[:-1] > 0x20) & (b[:-1] < 0x7F) & ((b[1:] == 0x20) | (b[1:] == 0x0A))) + 1
+    text = np.searchsorted(offsets, hit, "right") - 1
+    ok = hit - offsets[text] >= _WINDOW
+    hit, text = hit[ok], text[ok]
+    at = np.searchsorted(firm, hit)
+    ok = at < len(firm)
+    moved, text = firm[at[ok]], text[ok]
+    moved = np.unique(moved[moved < offsets[text + 1]])
+    return moved, np.searchsorted(moved, offsets)
 
 
 class ChunkEncoder:
-    """Encodes UTF-8 texts by ``encode`` (text to ids) with bounded dictionaries of chunks and joins."""
-
-    def __init__(self, encode, most: int = 200_000):
-        self.encode, self.most = encode, most
-        self.chunks: dict[bytes, tuple] = {}
-        self.joins: dict[bytes, list[int]] = {}
-
-    def _join(self, raw: bytes) -> list[int]:
-        ids = self.joins.get(raw)
-        if ids is None:
-            ids = self.encode(raw.decode())
-            if len(raw) <= 64:
-                if len(self.joins) >= self.most:
-                    self.joins.clear()
-                self.joins[raw] = ids
-        return ids
-
-    def _chunk(self, raw: bytes) -> tuple:
-        parts = self.chunks.get(raw)
-        if parts is None:
-            first = _FIRM.search(raw)
-            if first is None:
-                parts = (None, None, None)
-            else:
-                a = b = first.end()
-                for m in _FIRM.finditer(raw, a):
-                    b = m.end()
-                parts = (raw[:a], self.encode(raw[a:b].decode()), raw[b:])
-            if len(raw) <= 1024:
-                if len(self.chunks) >= self.most:
-                    self.chunks.clear()
-                self.chunks[raw] = parts
-        return parts
-
-    def __call__(self, raw: bytes, places) -> list[int]:
-        """Ids of ``raw``, whose chunks end at ``places``."""
-        ids: list[int] = []
-        pending, start = b"", 0
-        for end in (*places, len(raw)):
-            chunk = raw[start:end]
-            start = end
-            head, inner, tail = self._chunk(chunk)
-            if head is None:
-                pending += chunk
-                continue
-            ids += self._join(pending + head)
-            ids += inner
-            pending = tail
-        if pending:
-            ids += self._join(pending)
-        return ids
+    """Encodes UTF-8 texts by ``encode`` (text to ids) with a bounded dictionary from chunks to ids packed in 4 bytes each."""
+
+    def __init__(self, encode, most: int = 500_000, longest: int = 1024):
+        self.encode, self.most, self.longest = encode, most, longest
+        self.chunks: dict[bytes, bytes] = {}
+
+    def _new(self, raw: bytes) -> bytes:
+        packed = array("i", self.encode(raw.decode())).tobytes()
+        if len(raw) <= self.longest:
+            if len(self.chunks) >= self.most:
+                self.chunks.clear()
+            self.chunks[raw] = packed
+        return packed
+
+    def pack(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and values of the ids of all ``texts``."""
+        raw = b"".join(texts)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+        places, firsts = batch_places(raw, offsets)
+        places, bounds, ends = places.tolist(), firsts.tolist(), offsets.tolist()
+        known, new = self.chunks.get, self._new
+        parts, sizes, start, total = [], [0], 0, 0
+        for i in range(len(texts)):
+            for end in places[bounds[i] : bounds[i + 1]]:
+                chunk = raw[start:end]
+                packed = known(chunk) or new(chunk)
+                parts.append(packed)
+                total += len(packed)
+                start = end
+            end = ends[i + 1]
+            if end > start:
+                chunk = raw[start:end]
+                packed = known(chunk) or new(chunk)
+                parts.append(packed)
+                total += len(packed)
+                start = end
+            sizes.append(total >> 2)
+        return np.array(sizes, np.int32), np.frombuffer(b"".join(parts), np.int32)
+
+    def __call__(self, raw: bytes) -> list[int]:
+        return self.pack([raw])[1].tolist()
 
 
 def _byte_encoder(table: bytes, pattern: str):
@@ -157,14 +163,12 @@ def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str = "byte_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _byte_encoder(shared.value, pat) if by_chunks else _other_encoder(vocabulary, shared.value)
         for batch in batches:
-            out = []
-            for raw in batch.column(1).to_pylist():
-                if not raw:
-                    out.append([])
-                elif by_chunks:
-                    out.append(enc(raw, cut_places(raw).tolist()))
-                else:
-                    out.append(enc(raw.decode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
+            raws = batch.column(1).fill_null(b"").to_pylist()
+            if by_chunks:
+                sizes, values = enc.pack(raws)
+                ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(values))
+            else:
+                ids = pa.array([enc(raw.decode("utf-8", "replace")) if raw else [] for raw in raws], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
     return source.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
