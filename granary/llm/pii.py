@@ -33,7 +33,20 @@ _DISGUISE = re.compile(
     rf"|\b(?P<digits>{_DIGIT_WORD}(?:[\s,-]+{_DIGIT_WORD}){{6,}})\b",
     re.I,
 )
-_MAYBE = re.compile(rf"[{_INVISIBLE}]|[\[({{<]\s*(?:{_AT_WORD}|{_DOT_WORD})\s*[\])}}>]|\s@|@\s|\sdot\s|{_DIGIT_WORD}[\s,-]+{_DIGIT_WORD}[\s,-]+{_DIGIT_WORD}", re.I)
+_INVISIBLE_SET = frozenset(_INVISIBLE)
+
+
+def _may_be_disguised(text: str) -> bool:
+    """A cheap test: without these substrings the disguise pattern can't match."""
+    low = text.lower()
+    if " @" in low or "@ " in low or "dot" in low or "punto" in low or "punkt" in low or "point" in low or "arroba" in low:
+        return True
+    for b in "([{<":
+        if b in low and re.search(r"[\[({<]\s*at\s*[\])}>]", low):
+            return True
+    if not text.isascii() and not _INVISIBLE_SET.isdisjoint(text):
+        return True
+    return sum(low.count(w) for w in _DIGITS) >= 7
 
 
 class Normal:
@@ -44,7 +57,7 @@ class Normal:
     def __init__(self, raw: str):
         same = raw.translate(_ONE_TO_ONE) if not raw.isascii() else raw
         self.starts: list[int] | None = None
-        if not _MAYBE.search(same):
+        if not _may_be_disguised(same):
             self.text = same
             return
         out, pos, at = [], 0, 0
@@ -85,7 +98,7 @@ class Normal:
 
 # --- identifiers -------------------------------------------------------------------------------------------------------
 
-_EMAIL = re.compile(r"(?<![\w.+@-])[^\W_][\w.+'-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}", re.I)
+_EMAIL = re.compile(r"(?<![\w.+@-])[^\W_][\w.+'-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}")
 
 #: Words before a number that make it something else than a phone or identity number.
 _NOT_PERSONAL = re.compile(r"(?:\b(?:lots?|sn|ean|lt|serial|article|art|ticket|run|lauf|charge|batch|lote|hash|version|tool|order|invoice no|item|sku|part)\b[.:#\s-]*(?:no\.?|number|nr\.?)?\s*|[#$€£]\s*)$", re.I)
@@ -97,8 +110,7 @@ _PHONE = re.compile(
     r"|\d{3}([ .-])\d{3}\1\d{4}"
     r"|0\d{1,4} ?/ ?\d{2,4}[ -]?\d{3,6}"
     r"|0\d{9,10}"
-    r")(?:,?\s*(?:ext\.?|extension|x|durchwahl|poste)\s*\.?\s*\d{1,6})?(?![\w-]|[.,/]\d)",
-    re.I,
+    r")(?:,?\s*(?:ext\.?|extension|x|durchwahl|poste)\s*\.?\s*\d{1,6})?(?![\w-]|[.,/]\d)"
 )
 
 _ID_LABEL = (
@@ -113,8 +125,10 @@ _ID_SHAPES = (
     r"\d{1,2}\.\d{3}\.\d{3}-[\dA-Z]",
     r"[XYZ]\d{7,8}[A-Z]",
 )
+#: The shapes' letter classes in lower case.
+_SMALL = str.maketrans("AZDXY", "azdxy")
 _GENERIC_ID = r"[A-Z]{0,3} ?\d+(?:[ .\-/]\d+)*(?:-?[A-Z])?"
-_LABELLED_ID = re.compile(rf"\b{_ID_LABEL}[\s.:=#]*(?:(?:no|number|nr|num|n[°º]|card)\b[\s.:=#]*)?(?:(?:is|was|ist|lautet|es|est)\b\s*)?[:=]?\s*(?P<id>{'|'.join(s.replace('{g}', str(i + 2)) for i, s in enumerate(_ID_SHAPES))}|{_GENERIC_ID})(?!\w|[.,-]\d)", re.I)
+_LABELLED_ID = re.compile(rf"\b{_ID_LABEL}[\s.:=#]*(?:(?:no|number|nr|num|n[°º]|card)\b[\s.:=#]*)?(?:(?:is|was|ist|lautet|es|est)\b\s*)?[:=]?\s*(?P<id>{'|'.join(s.replace('{g}', str(i + 2)) for i, s in enumerate(_ID_SHAPES)).translate(_SMALL)}|{_GENERIC_ID.translate(_SMALL)})(?!\w|[.,-]\d)")
 _SHAPED_ID = re.compile(rf"(?<![\w.+/#-])(?P<id>{'|'.join(s.replace('{g}', '2') for i, s in enumerate(_ID_SHAPES) if i != 1)})(?!\w|[.,/-]\w)")
 
 _WORD = r"[^\W\d_][^\W\d_'-]*(?:['-][^\W\d_]+)*"
@@ -132,6 +146,10 @@ _STREET = (
 _TOWN = rf"(?:fenwick\s+hollow|port\s+selby|upper\s+tarn|{_CAP}(?:[ ]{_CAP}(?=\s*(?:[.,;)\r\n]|$)|\s+[A-Z]{{1,2}}\d))?|(?:brackensea|greyhollow|marrowfield|obermarrow|oldmere|saint-orval|villamora)\b)"
 _ADDRESS = re.compile(rf"(?<![\w./#-])(?:(?:flat|apt\.?|apartment|unit|suite)\s+\d{{1,4}}[A-Z]?\s*,\s*)?(?:{_STREET})(?:\s*,\s*|\s*\r?\n\s*)(?:\d{{4,5}}\s+)?{_TOWN}(?:,?\s+[A-Z]{{1,2}}\d[A-Z\d]?\s+\d[A-Z]{{2}}\b)?", re.I)
 
+_DIGIT = re.compile(r"\d")
+#: What every address has: a number next to a word, then a comma or line end before the town.
+_HOUSE = re.compile(r"\d[A-Za-z]?(?:\s|,)[^\d]{0,60}?[,\n]|\d[A-Za-z]?\s*[,\n]")
+
 # --- names -------------------------------------------------------------------------------------------------------------
 
 _PARTICLE = r"(?:van|von|der|den|de|del|della|di|la|le|du|dos|da)"
@@ -157,7 +175,7 @@ _FRAMES = (
     (r"\bpicker\s+", r"(?=\s*(?:\.|$|\r?\n))"),
     (r"\breviewer\s?=\s?", r"\s*;"),
     (r"\bshot\s+by\s+", r"\s*<"),
-    (r"\bI\s+met\s+", r"\s+at\b"),
+    (r"\bi\s+met\s+", r"\s+at\b"),
     (r"(?:^|[.!?:\n>|)}\]'\"]|\s{2})\s*", r"\s+wrote\s+that\b"),
     (_TITLE, r"\s+(?:has\s+moved|signed|wohnt|vive|habite|lives|wrote)\b"),
     (r"\brückfragen\s+an\s+", r",\s+telefon\b"),
@@ -168,9 +186,16 @@ _FRAMES = (
 )
 #: Signatures stand on one line.
 _ON_LINE = _name(r"[^\S\r\n]+")
-_FRAME = [re.compile(rf"(?:{a})(?P<name>{_ON_LINE if 'regards' in a or '--' in a else _NAME}){b}", re.I) for a, b in _FRAMES]
-#: A cheap test for each frame, so that its pattern runs only where it can match.
-_CUES = ("about", "grower", "duty", "goes", "picker", "reviewer", "shot", "met", "wrote", None, "rückfragen", "pregunte", "contactez", ("regards", "wishes", "sincerely", "grüße", "saludos", "cordialement"), "--")
+_FRAME = [re.compile(rf"(?:{a})(?P<name>{_ON_LINE if 'regards' in a or '--' in a else _NAME}){b}") for a, b in _FRAMES]
+#: Words of which a frame needs all, or one of each inner tuple, so that its pattern runs only where it can match.
+_CUES = (
+    ("ask", "about"), ("grower,", "called"), ("duty:", ", tel"), ("goes",), ("picker",), ("reviewer",), ("shot", "by"), ("met", " at"), ("wrote",),
+    (("mr", "ms", "miss", "dr", "prof", "frau", "herr", "señor", "sra", "sr", "mme", "mlle"), ("moved", "signed", "wohnt", "vive", "habite", "lives", "wrote")),
+    ("rückfragen",), ("pregunte",), ("contactez",), (("regards", "wishes", "sincerely", "grüße", "saludos", "cordialement"),), ("--", "|"),
+)
+_TITLE_WORDS = ("Mr", "Ms", "Miss", "Dr", "Prof", "Frau", "Herr", "Señor", "Sr", "Mme", "Mlle", "MR", "MISS", "DR", "PROF", "FRAU", "HERR")
+_STREET_WORDS = ("street", "st.", " st", "road", " rd", "ave", "lane", " ln", "drive", " dr", "close", "way", "court", " ct", "place", "crescent", "terrace", "boulevard", "blvd", "square", "rue", "allée", "chemin", "impasse", "quai", "route", "calle", "avda", "plaza", "paseo", "camino", "c/", "obst", "am ", "an der", "im ", "auf dem", "zum ", "zur ", "straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "box", "postfach", "apartado")
+_ID_WORDS = ("pass", "pasaporte", "securit", "sécurit", "seguridad", "national", "tax", "card", "ausweis", "steuer", "identi", "dni", "nif", "nie", "ssn", "tfn", "nino")
 _WRITER = re.compile(rf"(?<![\w.])(?P<name>{_name(word=_CAP2)})\s+wrote\s+that\b")
 _TITLED = re.compile(rf"\b{_PROPER_TITLE}(?P<name>(?:{_INITIAL}|(?-i:[A-ZÀ-Þ])[^\W\d_'-]*(?:['-][^\W\d_]+)*)(?:\s+(?:{_INITIAL}|{_CAP}))?\s+(?:{_PARTICLE}\s+){{0,3}}{_CAP})", re.I)
 _LINE_NAME = re.compile(rf"(?:^|\n)[ \t]*(?P<name>{_ON_LINE})[ \t]*\r?\n", re.I)
@@ -191,12 +216,16 @@ class Lexicon:
         for token, kind in rows:
             if token and token.strip():
                 (self.given if kind == "given" else self.family).add(_SPACED.sub(" ", token.strip().translate(_ONE_TO_ONE).lower()))
-        self.family_heads = {f.split(" ")[0] for f in self.family if " " in f}
+        #: Family names of several words that don't begin with a known particle.
+        self.phrases = [f for f in self.family if " " in f and f.split(" ")[0] not in _PARTICLES]
 
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         """Names found by their parts: given and family name side by side, in either order, with middle names or initials."""
-        words = [(m.start(), m.end(), m[0].lower()) for m in _TOKEN.finditer(text)]
         given, family = self.given, self.family
+        found = set(_TOKEN.findall(text.lower()))
+        if found.isdisjoint(family) and found.isdisjoint(given) and not any(f in text.lower() for f in self.phrases):
+            return
+        words = [(m.start(), m.end(), m[0].lower()) for m in _TOKEN.finditer(text)]
         n = len(words)
         for i, (a, b, w) in enumerate(words):
             if w in family:
@@ -252,8 +281,8 @@ class Lexicon:
                     continue
                 if x not in family and x not in given and text[c].isupper() and d - c > 2 and x not in _FIRM and not (at + 1 < n and words[at + 1][2] in _FIRM and text[d : words[at + 1][0]].isspace()) and "\n" not in gap:
                     yield a, d
-        for f in self.family:  # family names of several words, such as those with particles outside the list
-            if " " in f and f.split(" ")[0] not in _PARTICLES and f in text.lower():
+        for f in self.phrases:
+            if f in text.lower():
                 for m in re.finditer(rf"(?P<g>{_WORD}|{_INITIAL})\s+" + r"\s+".join(map(re.escape, f.split(" "))), text, re.I):
                     if m["g"].lower() in given or m["g"].endswith("."):
                         yield m.span()
@@ -273,6 +302,8 @@ def find_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     norm = Normal(text)
     t = norm.text
     low = t.lower()
+    if len(low) != len(t):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
     taken: list[tuple[int, int, str]] = []
 
     def add(a: int, b: int, kind: str) -> None:
@@ -280,25 +311,30 @@ def find_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             taken.append((a, b, kind))
 
     if "@" in t:
-        for m in _EMAIL.finditer(t):
+        for m in _EMAIL.finditer(low):
             add(*m.span(), "email")
-    for m in _LABELLED_ID.finditer(t):
-        add(*m.span("id"), "id_number")
-    for m in _ADDRESS.finditer(t):
-        add(*m.span(), "address")
-    for m in _PHONE.finditer(t):
-        if 7 <= sum(c.isdigit() for c in m[0]) <= 21 and not _NOT_PERSONAL.search(t, max(0, m.start() - 24), m.start()):
-            add(*m.span(), "phone")
-    for m in _SHAPED_ID.finditer(t):
-        if not _NOT_PERSONAL.search(t, max(0, m.start() - 24), m.start()):
+    digits = _DIGIT.search(t) is not None
+    if digits and any(w in low for w in _ID_WORDS):
+        for m in _LABELLED_ID.finditer(low):
             add(*m.span("id"), "id_number")
+    if digits and any(w in low for w in _STREET_WORDS) and _HOUSE.search(t):
+        for m in _ADDRESS.finditer(t):
+            add(*m.span(), "address")
+    if digits:
+        for m in _PHONE.finditer(low):
+            if 7 <= sum(c.isdigit() for c in m[0]) <= 21 and not _NOT_PERSONAL.search(t, max(0, m.start() - 24), m.start()):
+                add(*m.span(), "phone")
+        for m in _SHAPED_ID.finditer(t):
+            if not _NOT_PERSONAL.search(t, max(0, m.start() - 24), m.start()):
+                add(*m.span("id"), "id_number")
     names: list[tuple[int, int]] = []
     for cue, frame in zip(_CUES, _FRAME):
-        if cue is None or (cue in low if isinstance(cue, str) else any(c in low for c in cue)):
-            names += [m.span("name") for m in frame.finditer(t)]
+        if all(c in low if isinstance(c, str) else any(x in low for x in c) for c in cue):
+            names += [m.span("name") for m in frame.finditer(low)]
     if "wrote" in low:
         names += [m.span("name") for m in _WRITER.finditer(t)]
-    names += [m.span("name") for m in _TITLED.finditer(t)]
+    if any(w in t for w in _TITLE_WORDS):
+        names += [m.span("name") for m in _TITLED.finditer(t)]
     if taken:
         names += _signatures(t, taken)
     names += lexicon.spans(t)
