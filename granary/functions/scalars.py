@@ -122,11 +122,11 @@ def safe_cell(c: Column) -> Column:
 def display(name: str, c: Column) -> Column:
     """Fractions as percent, ``*_ms`` as milliseconds, diameters as pixels, sources as file names, missing as ``-``."""
     if name in ("accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1", "score_unripe", "score_ripe", "score_overripe", "foreground_fraction", "blemish_fraction"):
-        out = F.format_string("%.2f%%", c.cast("double") * 100)
+        out = F.concat(F.call_function("format_number", c.cast("double") * 100, F.lit("0.00")), F.lit("%"))
     elif name.endswith("_ms"):
-        out = F.format_string("%.1f ms", c.cast("double"))
+        out = F.concat(F.call_function("format_number", c.cast("double"), F.lit("0.0")), F.lit(" ms"))
     elif name == "equivalent_diameter_px":
-        out = F.format_string("%.1f px", c.cast("double"))
+        out = F.concat(F.call_function("format_number", c.cast("double"), F.lit("0.0")), F.lit(" px"))
     elif name == "source":
         out = basename(c)
     else:

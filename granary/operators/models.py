@@ -46,8 +46,8 @@ def nearest_centroid(rows: DataFrame, key: str, vector: str, label: str) -> Data
     Means are one aggregation over (label, position); there are as many means as labels, so they are collected into one
     small row that every task holds. Rows with a null vector or label take no part in the means; null vectors get no row.
     """
-    dims = rows.where(F.col(vector).isNotNull()).select(key, label, F.posexplode(vector).alias("i", "v"))
-    means = dims.where(F.col(label).isNotNull()).groupBy(label, "i").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    table = means.agg(F.array_sort(F.collect_list(F.struct(label, "mean"))).alias("__means"))
-    square = F.transform("__means", lambda c: F.struct(F.aggregate(F.zip_with(c["mean"], F.col(vector), lambda a, b: (a - b.cast("double")) * (a - b.cast("double"))), F.lit(0.0), lambda s, x: s + x).alias("d"), c[label].alias("l")))
+    dims = rows.where(F.col(vector).isNotNull()).select(key, label, F.posexplode(vector).alias("__i", "__v"))
+    means = dims.where(F.col(label).isNotNull()).groupBy(label, "__i").agg(F.avg(F.col("__v").cast("double")).alias("__m")).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias("__mean"))
+    table = means.agg(F.array_sort(F.collect_list(F.struct(label, "__mean"))).alias("__means"))
+    square = F.transform("__means", lambda c: F.struct(F.aggregate(F.zip_with(c["__mean"], F.col(vector), lambda a, b: (a - b.cast("double")) * (a - b.cast("double"))), F.lit(0.0), lambda s, x: s + x).alias("d"), c[label].alias("l")))
     return rows.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(table)).select(key, label, F.array_min(square).alias("b")).select(key, label, F.col("b.l").alias("assigned"), F.col("b.d").alias("distance"))

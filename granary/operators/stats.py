@@ -15,7 +15,7 @@ def percentile_stretch(rows: DataFrame, by: str, value: str, low: float = 0.02,
     p = rows.groupBy(by).agg(F.percentile(value, low).alias("lo"), F.percentile(value, high).alias("hi"))
     j = rows.join(p, by)
     raw = F.when(F.col("hi") > F.col("lo"), (F.col(value) - F.col("lo")) * 255.0 / (F.col("hi") - F.col("lo"))).otherwise(F.col(value))
-    return j.withColumn("stretched", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), raw))).cast("int"))
+    return j.withColumn("stretched", F.when(F.col(value).isNotNull(), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), raw))).cast("int")))
 
 
 def robust_z(rows: DataFrame, by: str, value: str, floor: float = 2.0) -> DataFrame:
