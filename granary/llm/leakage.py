@@ -2,8 +2,8 @@
 
 1. One pass over the corpus finds every five-word gram that also occurs in some test item (hash equi-join, no shuffle of
    texts) and thereby how rare each is.
-2. Each window of ``run`` words of an item keeps its rarest gram as a seed; a window with a gram that no document holds
-   needs none. Whatever document holds the whole window holds its seed, so no verbatim run is lost.
+2. Each window of ``run`` words of an item keeps as a seed the rarest of its grams that occur in the corpus. Whatever
+   document holds the whole window holds its seed, so no verbatim run is lost; edited copies are met by what they kept.
 3. Seeds join documents to items; the words around the seeds are aligned by Smith-Waterman, which scores edited copies and
    measures the longest verbatim run.
 """
@@ -80,8 +80,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, run
     span = run - GRAM
     ahead = f"over (partition by item order by pos rows between current row and {span} following)"
     seeds = (
-        rated.withColumn("rare", F.expr(f"min(struct(n, gram, pos)) {ahead}")).withColumn("full", F.expr(f"count(1) {ahead}"))
-        .where((F.col("full") == span + 1) & (F.col("rare.n") > 0))
+        rated.withColumn("rare", F.expr(f"min(if(n > 0, struct(n, gram, pos), null)) {ahead}")).withColumn("full", F.expr(f"count(1) {ahead}"))
+        .where((F.col("full") == span + 1) & F.col("rare").isNotNull())
         .select("item", "item_words", F.col("rare.gram").alias("gram"), F.col("rare.pos").alias("ipos")).distinct()
     )
     found = (
