@@ -147,6 +147,18 @@ _TOWN = rf"(?:fenwick\s+hollow|port\s+selby|upper\s+tarn|{_CAP}(?:[ ]{_CAP}(?=\s
 _ADDRESS = re.compile(rf"(?<![\w./#-])(?:(?:flat|apt\.?|apartment|unit|suite)\s+\d{{1,4}}[A-Z]?\s*,\s*)?(?:{_STREET})(?:\s*,\s*|\s*\r?\n\s*)(?:\d{{4,5}}\s+)?{_TOWN}(?:,?\s+[A-Z]{{1,2}}\d[A-Z\d]?\s+\d[A-Z]{{2}}\b)?", re.I)
 
 _DIGIT = re.compile(r"\d")
+#: Where an address can begin, in lower-cased text.
+_ADDRESS_START = re.compile(r"(?<![\w./#-])(?:\d{1,4}|flat|ap|unit|suite|calle|av|plaza|paseo|camino|c/|am\s|an\s|im\s|auf\s|zu|p\.?\s?o|postfach|[^\W\d_]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm)\s)")
+
+
+def _addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
+    end = 0
+    for m in _ADDRESS_START.finditer(low):
+        if m.start() >= end and (found := _ADDRESS.match(text, m.start())):
+            end = found.end()
+            yield found.span()
+
+
 #: What every address has: a number next to a word, then a comma or line end before the town.
 _HOUSE = re.compile(r"\d[A-Za-z]?(?:\s|,)[^\d]{0,60}?[,\n]|\d[A-Za-z]?\s*[,\n]")
 
@@ -318,8 +330,8 @@ def find_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         for m in _LABELLED_ID.finditer(low):
             add(*m.span("id"), "id_number")
     if digits and any(w in low for w in _STREET_WORDS) and _HOUSE.search(t):
-        for m in _ADDRESS.finditer(t):
-            add(*m.span(), "address")
+        for a, b in _addresses(t, low):
+            add(a, b, "address")
     if digits:
         for m in _PHONE.finditer(low):
             if 7 <= sum(c.isdigit() for c in m[0]) <= 21 and not _NOT_PERSONAL.search(t, max(0, m.start() - 24), m.start()):
