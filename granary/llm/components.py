@@ -9,7 +9,8 @@ vertex with at least one edge; all vertices of a component carry the same ``root
 
 Hot vertices: degrees and minima are aggregated map-side; edges are removed by anti-joins keyed on the *pair*, never on a
 vertex; what must join on a vertex has a unique small side, so adaptive execution can split the hot partition. Every
-iteration is cut with a reliable checkpoint. No ids, edges or labels reach the driver, only counts.
+iteration is cut with a reliable checkpoint. No ids, edges or labels reach the driver, only counts: joins are sort-merge joins
+by hint, since a broadcast of every shrinking edge set would pass through the driver.
 """
 
 from __future__ import annotations
@@ -36,14 +37,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex is linked to the smallest member of its neighbourhood."""
     sym = _both_ways(edges)
     least = sym.groupBy("v").agg(F.min("n").alias("m")).select("v", F.least("v", "m").alias("m"))
-    return sym.where("n > v").join(least, "v").select(F.col("m").alias("a"), F.col("n").alias("b")).where("a <> b").distinct()
+    return sym.where("n > v").join(least.hint("merge"), "v").select(F.col("m").alias("a"), F.col("n").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A vertex and its smaller neighbours are linked to the smallest of these."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
     own = least.select(F.col("m").alias("a"), "b")
-    others = edges.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    others = edges.join(least.hint("merge"), "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return own.unionByName(others).distinct()
 
 
@@ -82,7 +83,7 @@ def _strip_leaves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         leaves.select(*_pair("v", "n"), "v", "n").groupBy("a", "b").agg(F.count(F.lit(1)).alias("ends"), F.max("v").alias("v"), F.max("n").alias("n"))
         .select("a", "b", F.when(F.col("ends") == 2, F.col("b")).otherwise(F.col("v")).alias("child"), F.when(F.col("ends") == 2, F.col("a")).otherwise(F.col("n")).alias("parent"))
     )
-    return gone.select("child", "parent"), edges.join(gone.select("a", "b"), ["a", "b"], "left_anti")
+    return gone.select("child", "parent"), edges.join(gone.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
 
 
 def _arcs(state: DataFrame) -> tuple[int, int]:
@@ -94,7 +95,7 @@ def _arcs(state: DataFrame) -> tuple[int, int]:
 def _jump(state: DataFrame) -> DataFrame:
     """One round of pointer jumping: an open arc takes over what the arc it points to knows."""
     step = state.select(F.col("v").alias("pv"), F.col("h").alias("ph"), F.col("pv").alias("qv"), F.col("ph").alias("qh"), F.col("end").alias("e"))
-    moved = state.where("end is null").drop("end").join(step, ["pv", "ph"]).select("v", "h", F.col("qv").alias("pv"), F.col("qh").alias("ph"), F.col("e").alias("end"))
+    moved = state.where("end is null").drop("end").join(step.hint("merge"), ["pv", "ph"]).select("v", "h", F.col("qv").alias("pv"), F.col("qh").alias("ph"), F.col("e").alias("end"))
     return state.where("end is not null").unionByName(moved)
 
 
@@ -129,7 +130,7 @@ def _rank_chains(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     ends = cut(ended.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("e1"), F.max("end").alias("e2")).where("n = 2"))
     gone_edges = ended.select(*_pair("v", "h")).distinct()
     new = ends.where("e1 <> e2").select(F.col("e1").alias("a"), F.col("e2").alias("b"))
-    return ends.select(F.col("v").alias("child"), F.col("e1").alias("parent")), edges.join(gone_edges, ["a", "b"], "left_anti").unionByName(new).distinct()
+    return ends.select(F.col("v").alias("child"), F.col("e1").alias("parent")), edges.join(gone_edges.hint("merge"), ["a", "b"], "left_anti").unionByName(new).distinct()
 
 
 def pruned_components(edges: DataFrame, least_shrink: float = 0.1) -> DataFrame:
@@ -151,7 +152,7 @@ def pruned_components(edges: DataFrame, least_shrink: float = 0.1) -> DataFrame:
             break
     labels = star_components(now)
     for layer in reversed(layers):
-        known = layer.join(labels.withColumnRenamed("id", "parent"), "parent", "left").select("child", "parent", F.coalesce("root", "parent").alias("root"), F.col("root").isNull().alias("fresh"))
+        known = layer.join(labels.withColumnRenamed("id", "parent").hint("merge"), "parent", "left").select("child", "parent", F.coalesce("root", "parent").alias("root"), F.col("root").isNull().alias("fresh"))
         known = cut(known)
         parents = known.where("fresh").select(F.col("parent").alias("id"), "root").distinct()
         labels = labels.unionByName(known.select(F.col("child").alias("id"), "root")).unionByName(parents)

@@ -25,9 +25,9 @@ def grouped_paths(links: DataFrame) -> DataFrame:
     """``(path, group_path)`` for links between texts: exact bigint ids stand for the texts while components are found."""
     links = cut(links)
     names = cut(links.select(F.explode(F.array("a", "b")).alias("path")).distinct().withColumn("id", F.monotonically_increasing_id()))
-    edges = links.join(names.select(F.col("path").alias("a"), F.col("id").alias("i")), "a").join(names.select(F.col("path").alias("b"), F.col("id").alias("j")), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    members = cut(pruned_components(edges).join(names, "id").select("path", "root"))
-    return members.join(members.groupBy("root").agg(F.min("path").alias("group_path")), "root").select("path", "group_path")
+    edges = links.join(names.select(F.col("path").alias("a"), F.col("id").alias("i")).hint("merge"), "a").join(names.select(F.col("path").alias("b"), F.col("id").alias("j")).hint("merge"), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    members = cut(pruned_components(edges).join(names.hint("merge"), "id").select("path", "root"))
+    return members.join(members.groupBy("root").agg(F.min("path").alias("group_path")).hint("merge"), "root").select("path", "group_path")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
