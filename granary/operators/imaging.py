@@ -7,11 +7,12 @@ Kernels run batch-wise in ``mapInPandas``. ``mode="permissive"`` turns a bad ima
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from granary.kernels import decode as D
 from granary.kernels import pixels as P
@@ -23,7 +24,7 @@ def _run(rows: DataFrame, schema: str, one: Callable, mode: str, keep: list[str]
         raise ValueError("mode is permissive or failfast")
     source = rows.select(*keep, "content")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "content")
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0] for x in re.split(r", (?![^<]*>)", schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,3 +85,55 @@ def image_features(rows: DataFrame, method: str = "baseline", keep: list[str] =
         return {"features": P.features(rgb * mask[..., None]).tolist()}
 
     return _run(rows, "features array<float>", one, mode, keep)
+
+
+def enhance_images(rows: DataFrame, keep: list[str] = ["path"], mode: str = "permissive") -> DataFrame:
+    """The denoised and stretched picture as PNG, its spread before and after and the mean change."""
+    def one(content: bytes) -> dict:
+        e = P.enhance(D.decode(content)[0])
+        return {"content": D.encode_png(e["image"]), "std_before": e["std_before"], "std_after": e["std_after"], "mean_change": e["mean_change"]}
+
+    return _run(rows, "content binary, std_before double, std_after double, mean_change double", one, mode, keep)
+
+
+def network_inputs(rows: DataFrame, method: str = "baseline", keep: list[str] = ["path"], mode: str = "failfast") -> DataFrame:
+    """P5: letterboxed, normalised input of the masked picture, 150,528 floats."""
+    def one(content: bytes) -> dict:
+        rgb = D.decode(content)[0]
+        return {"tensor": P.network_input(rgb * G.segment(rgb, method)["mask"][..., None]).ravel().tolist()}
+
+    return _run(rows, "tensor array<float>", one, mode, keep)
+
+
+def overlay_images(rows: DataFrame, method: str = "hybrid_refined", keep: list[str] = ["path"], mode: str = "permissive") -> DataFrame:
+    """The picture as PNG with defects in red and object boxes in green, and the counts."""
+    def one(content: bytes) -> dict:
+        rgb = D.decode(content)[0]
+        calm = P.median3(rgb)
+        mask = G.segment(calm, method)["mask"]
+        b, found = G.blemishes(calm, mask), P.objects(mask)
+        out = rgb.copy()
+        out[b["mask"]] = (255, 0, 0)
+        for o in found:
+            x, y, w, h = o["bbox"]
+            out[[y, y + h - 1], x : x + w] = (0, 255, 0)
+            out[y : y + h, [x, x + w - 1]] = (0, 255, 0)
+        return {"overlay": D.encode_png(out), "blemish_pixels": b["blemish_pixels"], "blemish_fraction": b["blemish_fraction"], "objects_detected": len(found)}
+
+    return _run(rows, "overlay binary, blemish_pixels bigint, blemish_fraction double, objects_detected bigint", one, mode, keep)
+
+
+def crop_objects(rows: DataFrame, keep: list[str] = ["path"], mode: str = "permissive", method: str = "hybrid_refined") -> DataFrame:
+    """One row per detected object, by area: number, box and its crop with all outside the mask black."""
+    def one(content: bytes) -> dict:
+        rgb = D.decode(content)[0]
+        mask = G.segment(rgb, method)["mask"]
+        shown = rgb * mask[..., None].astype(rgb.dtype)
+        out = []
+        for i, o in enumerate(P.objects(mask), 1):
+            x, y, w, h = o["bbox"]
+            out.append({"object_no": i, "area": o["area"], "x": x, "y": y, "width": w, "height": h, "crop": D.encode_png(shown[y : y + h, x : x + w])})
+        return {"objects": out}
+
+    packed = _run(rows, "objects array<struct<object_no:bigint;area:bigint;x:bigint;y:bigint;width:bigint;height:bigint;crop:binary>>".replace(";", ","), one, mode, keep)
+    return packed.select(*keep, "error", F.explode_outer("objects").alias("o")).select(*keep, "error", "o.*")

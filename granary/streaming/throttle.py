@@ -52,10 +52,11 @@ def throttle(events: DataFrame, key: str, at: str, order: str, seconds: float =
     return rows.mapInPandas(run, events.schema)
 
 
-def throttle_stream(events: DataFrame, key: str, at: str, seconds: float = 0.35) -> DataFrame:
+def throttle_stream(events: DataFrame, key: str, at: str, seconds: float = 0.35, order: str | None = None) -> DataFrame:
     """Streaming form over ``(key, at)``, other columns kept: state is the last passed time per key.
 
-    Within a micro-batch events are taken by time; an event of an earlier time than the last passed one doesn't pass.
+    Within a micro-batch events are taken by time, then ``order``; an event of an earlier time than the last passed one
+    doesn't pass. A key's events of one micro-batch are held at once: bound them by ``maxFilesPerTrigger``.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -63,7 +64,7 @@ def throttle_stream(events: DataFrame, key: str, at: str, seconds: float = 0.35)
 
     def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values(at, kind="stable")
+        pdf = pd.concat(list(frames)).sort_values([at, order] if order else at, kind="stable")
         kept, last = keep(pdf[at].to_numpy("datetime64[us]").astype(np.int64), gap, last)
         if last is not None:
             state.update((last,))
