@@ -57,13 +57,13 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def star_components(edges: DataFrame) -> DataFrame:
     """Components by alternating large-star and small-star; ``root`` is the smallest id of the component.
 
-    An empty input gives an empty result. Every edge set is checkpointed, and the loop ends when a whole round leaves the
-    edges as they were, which is when they form one star around each smallest vertex.
+    An empty input gives an empty result. Two rounds run per checkpoint, and the loop ends when they leave the edges as they
+    were, which is when they form one star around each smallest vertex.
     """
     now = cut(canonical(edges))
     state = _state(now)
     while state[0]:
-        nxt = cut(_small_star(_large_star(now)))
+        nxt = cut(_small_star(_large_star(_small_star(_large_star(now)))))
         after = _state(nxt)
         now = nxt
         if after == state:
@@ -133,7 +133,7 @@ def _rank_chains(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     return ends.select(F.col("v").alias("child"), F.col("e1").alias("parent")), edges.join(gone_edges.hint("merge"), ["a", "b"], "left_anti").unionByName(new).distinct()
 
 
-def pruned_components(edges: DataFrame, least_shrink: float = 0.1) -> DataFrame:
+def pruned_components(edges: DataFrame, least_shrink: float = 0.5) -> DataFrame:
     """Components by stripping leaves and ranking chains until a round removes less than ``least_shrink`` of the edges.
 
     The rest, the core, is solved by :func:`star_components`; removed vertices then take the root of the vertex they hung on,
