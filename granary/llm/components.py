@@ -5,7 +5,7 @@ vertex with at least one edge; all vertices of a component carry the same ``root
 
 * :func:`star_components` - alternating large-star and small-star steps; ``root`` is the smallest id.
 * :func:`pruned_components` - strips degree-one vertices, compresses degree-two chains by list ranking, solves the reduced
-  core with the star steps and restores labels to the removed vertices, layer by layer.
+  core (in one task if it is small, else with the star steps) and restores labels to the removed vertices, layer by layer.
 
 Hot vertices: degrees and minima are aggregated map-side; edges are removed by anti-joins keyed on the *pair*, never on a
 vertex; what must join on a vertex has a unique small side, so adaptive execution can split the hot partition. Every
@@ -15,6 +15,10 @@ by hint, since a broadcast of every shrinking edge set would pass through the dr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from granary.session import cut
@@ -57,13 +61,13 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def star_components(edges: DataFrame) -> DataFrame:
     """Components by alternating large-star and small-star; ``root`` is the smallest id of the component.
 
-    An empty input gives an empty result. Two rounds run per checkpoint, and the loop ends when they leave the edges as they
-    were, which is when they form one star around each smallest vertex.
+    An empty input gives an empty result. Every edge set is checkpointed, and the loop ends when a whole round leaves the
+    edges as they were, which is when they form one star around each smallest vertex.
     """
     now = cut(canonical(edges))
     state = _state(now)
     while state[0]:
-        nxt = cut(_small_star(_large_star(_small_star(_large_star(now)))))
+        nxt = cut(_small_star(_large_star(now)))
         after = _state(nxt)
         now = nxt
         if after == state:
@@ -133,11 +137,38 @@ def _rank_chains(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     return ends.select(F.col("v").alias("child"), F.col("e1").alias("parent")), edges.join(gone_edges.hint("merge"), ["a", "b"], "left_anti").unionByName(new).distinct()
 
 
-def pruned_components(edges: DataFrame, least_shrink: float = 0.5) -> DataFrame:
-    """Components by stripping leaves and ranking chains until a round removes less than ``least_shrink`` of the edges.
+def hook_and_jump(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and roots (smallest ids) of a graph in memory: roots hook onto smaller roots, then paths are halved to stars."""
+    ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent, u, v = np.arange(len(ids)), inverse[: len(a)], inverse[len(a) :]
+    while len(u):
+        pu, pv = parent[u], parent[v]
+        apart = pu != pv
+        u, v, pu, pv = u[apart], v[apart], pu[apart], pv[apart]
+        np.minimum.at(parent, np.maximum(pu, pv), np.minimum(pu, pv))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return ids, ids[parent]
+
+
+def _solve_in_one_task(edges: DataFrame) -> DataFrame:
+    """Components of a core whose size the caller has checked, by one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if parts:
+            ids, roots = hook_and_jump(*[np.concatenate(p) for p in zip(*parts)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["id", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "id bigint, root bigint")
+
+
+def pruned_components(edges: DataFrame, core_edges: int = 2_000_000, least_shrink: float = 0.5) -> DataFrame:
+    """Components by stripping leaves and ranking chains until the core has at most ``core_edges`` edges or a round removes
+    less than ``least_shrink`` of them.
 
-    The rest, the core, is solved by :func:`star_components`; removed vertices then take the root of the vertex they hung on,
-    last removed first. Empty inputs, rings, stars, lone edges and repeated rows are all covered; an empty input gives no row.
+    A core within ``core_edges`` (2 million: 32 MB) is solved by one task, a larger one by :func:`star_components`; removed
+    vertices then take the root of the vertex they hung on, last removed first. Empty inputs, rings, stars, lone edges and
+    repeated rows are all covered; an empty input gives no row.
     """
     now, layers = cut(canonical(edges)), []
     left = now.count()
@@ -148,9 +179,9 @@ def pruned_components(edges: DataFrame, least_shrink: float = 0.5) -> DataFrame:
         layers += [leaves] if chains is None else [leaves, chains]
         now, before = cut(rest), left
         left = now.count()
-        if left > (1 - least_shrink) * before:
+        if left <= core_edges or left > (1 - least_shrink) * before:
             break
-    labels = star_components(now)
+    labels = cut(_solve_in_one_task(now)) if left <= core_edges else star_components(now)
     for layer in reversed(layers):
         known = layer.join(labels.withColumnRenamed("id", "parent").hint("merge"), "parent", "left").select("child", "parent", F.coalesce("root", "parent").alias("root"), F.col("root").isNull().alias("fresh"))
         known = cut(known)

@@ -1,4 +1,5 @@
 import random
+from functools import partial
 from collections import defaultdict
 
 import pytest
@@ -46,7 +47,7 @@ GRAPHS = {
 
 
 @pytest.mark.parametrize("name", GRAPHS)
-@pytest.mark.parametrize("solve", [star_components, pruned_components])
+@pytest.mark.parametrize("solve", [star_components, pruned_components, partial(pruned_components, core_edges=0, least_shrink=0.1)])
 def test_components(spark, name, solve):
     edges = GRAPHS[name]
     got = solve(spark.createDataFrame(edges or [(None, None)], "a bigint, b bigint")).collect()
