@@ -231,6 +231,13 @@ class Lexicon:
         #: Family names of several words that don't begin with a known particle.
         self.phrases = [f for f in self.family if " " in f and f.split(" ")[0] not in _PARTICLES]
 
+    def trimmed(self, text: str, a: int, b: int) -> tuple[int, int]:
+        """A framed name without an everyday word before it: in small letters, unknown, and followed by a known given name."""
+        words = text[a:b].split()
+        if len(words) > 2 and words[0].islower() and words[0] not in self.given and words[0] not in _PARTICLES and words[1].lower() in self.given:
+            return text.index(words[1], a + len(words[0])), b
+        return a, b
+
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         """Names found by their parts: given and family name side by side, in either order, with middle names or initials."""
         given, family = self.given, self.family
@@ -342,7 +349,7 @@ def find_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     names: list[tuple[int, int]] = []
     for cue, frame in zip(_CUES, _FRAME):
         if all(c in low if isinstance(c, str) else any(x in low for x in c) for c in cue):
-            names += [m.span("name") for m in frame.finditer(low)]
+            names += [lexicon.trimmed(t, *m.span("name")) for m in frame.finditer(low)]
     if "wrote" in low:
         names += [m.span("name") for m in _WRITER.finditer(t)]
     if any(w in t for w in _TITLE_WORDS):
