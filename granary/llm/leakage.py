@@ -2,8 +2,9 @@
 
 1. One pass over the corpus finds every five-word gram that also occurs in some test item (hash equi-join, no shuffle of
    texts) and thereby how rare each is.
-2. Each window of ``run`` words of an item keeps as a seed the rarest of its grams that occur in the corpus. Whatever
-   document holds the whole window holds its seed, so no verbatim run is lost; edited copies are met by what they kept.
+2. For verbatim runs, each window of ``run`` words of an item keeps as a seed the rarest of its grams that occur in the corpus.
+   Whatever document holds the whole window holds its seed, so no verbatim run is lost; an edited copy may hold none of them.
+   For edited copies every gram of an item is a seed, so whatever document keeps five consecutive words is met.
 3. Seeds join documents to items; the words around the seeds are aligned by Smith-Waterman, which scores edited copies and
    measures the longest verbatim run.
 """
@@ -62,8 +63,9 @@ def align(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray,
     return best, at, longest
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, run: int = 10, block: int = 128) -> DataFrame:
-    """``(doc, item, score, verbatim_run, item_words)`` for every pair that shares a seed.
+def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, run: int = 10, block: int = 128, edited: bool = False) -> DataFrame:
+    """``(doc, item, score, verbatim_run, item_words)`` for every pair that shares a seed: with ``edited`` any gram of the item,
+    else the rarest gram of each window, which finds all pairs with ``verbatim_run >= run`` but not all edited copies.
 
     ``docs`` and ``items`` have a key and ``text``; null, empty and short texts (below ``run`` words) are in no pair. Repeated
     keys with different texts are aligned each on their own. ``verbatim_run >= run`` holds for exactly the pairs of which
@@ -75,17 +77,20 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, run
     item_grams = cut(_grams(i.withColumn("tid", F.xxhash64("w")), "item", run).join(i.select("item", F.size("w").alias("item_words")), "item"))
     vocab = cut(item_grams.select("gram").distinct())
     hits = cut(_grams(d, "doc", run).join(bounded(vocab), "gram"))
-    seen = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rated = item_grams.join(seen, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    span = run - GRAM
-    ahead = f"over (partition by item order by pos rows between current row and {span} following)"
-    seeds = (
-        rated.withColumn("rare", F.expr(f"min(if(n > 0, struct(n, gram, pos), null)) {ahead}")).withColumn("full", F.expr(f"count(1) {ahead}"))
-        .where((F.col("full") == span + 1) & F.col("rare").isNotNull())
-        .select("item", "item_words", F.col("rare.gram").alias("gram"), F.col("rare.pos").alias("ipos")).distinct()
-    )
+    if edited:
+        seeds = item_grams.select("item", "item_words", "gram", F.col("pos").alias("ipos"))
+    else:
+        seen = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rated = item_grams.join(seen, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        span = run - GRAM
+        ahead = f"over (partition by item order by pos rows between current row and {span} following)"
+        seeds = (
+            rated.withColumn("rare", F.expr(f"min(if(n > 0, struct(n, gram, pos), null)) {ahead}")).withColumn("full", F.expr(f"count(1) {ahead}"))
+            .where((F.col("full") == span + 1) & F.col("rare").isNotNull())
+            .select("item", "item_words", F.col("rare.gram").alias("gram"), F.col("rare.pos").alias("ipos")).distinct()
+        )
     found = (
-        hits.join(bounded(cut(seeds)), "gram")
+        hits.join(bounded(seeds if edited else cut(seeds)), "gram")
         .groupBy("doc", "item", "item_words")
         .agg(F.min(F.col("pos") - F.col("ipos")).alias("lo"), F.max(F.col("pos") - F.col("ipos") + F.col("item_words")).alias("hi"))
     )

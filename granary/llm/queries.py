@@ -105,8 +105,8 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def all_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id", "text")
+def all_leaks(spark: SparkSession, sf: str, edited: bool = False) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id", "text", edited=edited)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +116,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_alignments(spark: SparkSession, sf: str) -> DataFrame:
     """Edited and verbatim copies with their best local alignment; a score of 2 per item word is a full verbatim copy."""
-    return all_leaks(spark, sf).where("score >= 20").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("verbatim_run").alias("verbatim_run"), F.max("item_words").alias("item_words"))
+    return all_leaks(spark, sf, edited=True).where("score >= 20").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("verbatim_run").alias("verbatim_run"), F.max("item_words").alias("item_words"))
 
 
 def p8_items(spark: SparkSession, sf: str) -> DataFrame:

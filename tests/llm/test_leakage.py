@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from granary.llm.leakage import align, leaks
+from granary.llm.queries import p8_alignments
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -70,6 +71,16 @@ def test_edited_copy_scores_high(spark):
     assert [(r.d, r.i) for r in got] == [(1, 7)] and got[0].score == 2 * 17 - 1 - 2 and got[0].verbatim_run == 8
 
 
+def test_every_edited_copy_is_met_beside_a_verbatim_one(spark, tmp_path):
+    word = [f"w{i}" for i in range(24)]
+    docs = [(k, " ".join(f"x{k}" if i in gone else w for i, w in enumerate(word))) for k, gone in enumerate([set(), {9, 19}, {9, 18}, {9, 19, 21}])]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(word))], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {r.doc_id: (r.score, r.verbatim_run) for r in p8_alignments(spark, str(tmp_path)).collect()}
+    ids = {k: [int(w[1:]) if w[0] == "w" else -1 for w in t.split()] for k, t in docs}
+    assert got == {k: (smith_waterman(x, list(range(24))), longest_run([v if v >= 0 else None for v in x], list(range(24)))) for k, x in ids.items()}
+
+
 @pytest.mark.parametrize("clash", ["gram", "pos", "w"])
 def test_clashing_columns(spark, clash):
     t = " ".join(f"x{i}" for i in range(12))
