@@ -19,13 +19,17 @@ def weighted(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(class_weights(rows, label).select(label, "weight"), label)
 
 
-def train(rows: DataFrame, features: str, label: str, kind: str = "random_forest", trees: int = 300, seed: int = 42, classes: tuple[str, ...] = STAGES) -> PipelineModel:
-    """A balanced forest (sqrt features) or a multinomial linear head; classes are indexed in the given order."""
+def train(rows: DataFrame, features: str, label: str, kind: str = "random_forest", trees: int = 300, seed: int = 42, classes: tuple[str, ...] = STAGES, depth: int = 30) -> PipelineModel:
+    """A balanced forest (sqrt features) or a multinomial linear head; classes are indexed in the given order.
+
+    ``depth`` bounds the forest's trees; 30 is the most Spark allows, where the reference sets no bound. Splits are at most 32
+    bins a feature.
+    """
     indexer = StringIndexer(inputCol="__label", outputCol="label", handleInvalid="error").fit(rows.sparkSession.createDataFrame([(f"{i}:{c}",) for i, c in enumerate(classes)], "__label string"))
     order = reduce(lambda acc, ic: F.when(F.col(label) == ic[1], f"{ic[0]}:{ic[1]}").otherwise(acc), enumerate(classes), F.lit(None).cast("string"))
     data = weighted(rows, label).withColumn("__label", order).withColumn("features", array_to_vector(F.col(features)))
     if kind == "random_forest":
-        model = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, maxDepth=12)
+        model = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, maxDepth=depth)
     else:
         model = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-4, maxIter=50)
     return Pipeline(stages=[indexer, model]).fit(data)

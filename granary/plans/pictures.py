@@ -87,7 +87,7 @@ def _staged(spark, sf):
 def forest_predictions(spark, sf):
     """L3, L4: a balanced forest over the embeddings, applied to all of them."""
     rows = _staged(spark, sf)
-    return models.predict(models.train(rows, "embedding", "stage", "random_forest", trees=30), rows, "embedding").select("vec_id", "stage", "predicted_stage", *[F.round(f"score_{c}", 6).alias(f"score_{c}") for c in STAGES])
+    return models.predict(models.train(rows, "embedding", "stage", "random_forest"), rows, "embedding").select("vec_id", "stage", "predicted_stage", *[F.round(f"score_{c}", 6).alias(f"score_{c}") for c in STAGES])
 
 
 def linear_predictions(spark, sf):

@@ -113,3 +113,15 @@ def test_training(spark, kind):
 def test_nearest_centroid(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0], 5), (2, [2.0, 0.0], 5), (3, [1.0, 4.0], 7), (4, [1.0, 2.0], None), (5, None, 5)], "i int, v array<float>, l int")
     assert {(r.i, r.assigned, r.distance) for r in models.nearest_centroid(df, "i", "v", "l").collect()} == {(1, 5, 1.0), (2, 5, 1.0), (3, 7, 0.0), (4, 5, 4.0)}
+
+
+def test_forest_query_trains_the_whole_forest(spark, tmp_path, monkeypatch):
+    from granary.operators import models
+    from granary.plans.pictures import forest_predictions
+
+    rows = [(i, [float((i * 7) % 40), float(i % 5)], i % 3) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made, train = [], models.train
+    monkeypatch.setattr(models, "train", lambda *a, **k: made.append(train(*a, **k)) or made[-1])
+    assert forest_predictions(spark, str(tmp_path)).count() == 40
+    assert [(m.stages[-1].getNumTrees, m.stages[-1].getOrDefault("maxDepth")) for m in made] == [(300, 30)]
