@@ -28,12 +28,16 @@ _DIGIT_WORD = "(?:" + "|".join(_DIGITS) + ")"
 _AT_WORD, _DOT_WORD = "(?:at|arroba)", "(?:dot|punto|punkt|point)"
 _DISGUISE = re.compile(
     rf"(?P<gone>[{_INVISIBLE}]+)"
-    rf"|(?<=\w)(?P<at>\s*[\[({{<]\s*{_AT_WORD}\s*[\])}}>]\s*|\s+@\s*(?=[\w-]+(?:\.|\s*[\[({{]|\s+dot\s))|@\s+(?=[\w-]+\.)|\s+{_AT_WORD}\s+(?=[\w-]+(?:\s+{_DOT_WORD}\s+[\w-]+)+))(?=\w)"
+    rf"|(?<=\w)(?P<at>\s*[\[({{<]\s*{_AT_WORD}\s*[\])}}>]\s*|\s+@\s*(?=[\w-]+(?:\.|\s*[\[({{]|\s+{_DOT_WORD}\s))|@\s+(?=[\w-]+\.)|\s+{_AT_WORD}\s+(?=[\w-]+(?:\s+{_DOT_WORD}\s+[\w-]+)+))(?=\w)"
     rf"|(?<=\w)(?P<dot>\s*[\[({{<]\s*{_DOT_WORD}\s*[\])}}>]\s*|\s+dot\s+)(?=\w)"
+    rf"|(?<=\w)(?P<bare>\s+{_DOT_WORD}\s+)(?=\w)"
     rf"|\b(?P<digits>{_DIGIT_WORD}(?:[\s,-]+{_DIGIT_WORD}){{6,}})\b",
     re.I,
 )
 _INVISIBLE_SET = frozenset(_INVISIBLE)
+#: What must stand around a bare dot word other than 'dot', an everyday word too: an at before it, or labels up to an at after it.
+_AFTER_AT = re.compile(r"[^\W_]@[\w-]+\Z")
+_BEFORE_AT = re.compile(rf"[\w.+-]+(?:\s+{_DOT_WORD}\s+[\w.+-]+)*(?:\s*[\[({{<]\s*{_AT_WORD}\s*[\])}}>]|\s*@\s*[\w-]|\s+{_AT_WORD}\s+[\w-]+\s+{_DOT_WORD}\s+\w)", re.I)
 
 
 def _may_be_disguised(text: str) -> bool:
@@ -72,11 +76,19 @@ class Normal:
                 self.ends.append(end)
                 at += len(text)
 
+        in_domain = -1  # where the label begins that follows an at or dot of a domain
         for m in _DISGUISE.finditer(same):
+            if m["bare"]:
+                after = in_domain >= 0 and re.fullmatch(r"[\w-]+", same[in_domain : m.start()]) or _AFTER_AT.search(same, max(0, m.start() - 80), m.start())
+                if not after and not _BEFORE_AT.match(same, m.end()):
+                    continue
+                in_domain = m.end() if after else -1
+            elif m["at"] or m["dot"] and in_domain >= 0:
+                in_domain = m.end()
             piece(same[pos : m.start()], pos, 0)
             if m["at"]:
                 new = "@"
-            elif m["dot"]:
+            elif m["dot"] or m["bare"]:
                 new = "."
             elif m["digits"]:
                 new = "".join(_DIGITS[w.lower()] for w in re.findall(_DIGIT_WORD, m["digits"], re.I))
@@ -100,7 +112,7 @@ class Normal:
 
 _EMAIL = re.compile(r"(?<![\w.+@-])[^\W_][\w.+'-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}")
 
-#: Words before a number that make it something else than a phone or identity number.
+#: Words before a number that make it something else than a phone or identity number, unless no serial has its shape.
 _NOT_PERSONAL = re.compile(r"(?:\b(?:lots?|sn|ean|lt|serial|article|art|ticket|run|lauf|charge|batch|lote|hash|version|tool|order|invoice no|item|sku|part)\b[.:#\s-]*(?:no\.?|number|nr\.?)?\s*|[#$€£]\s*)$", re.I)
 
 _PHONE = re.compile(
@@ -113,6 +125,9 @@ _PHONE = re.compile(
     r")(?:,?\s*(?:ext\.?|extension|x|durchwahl|poste)\s*\.?\s*\d{1,6})?(?![\w-]|[.,/]\d)"
 )
 
+#: Phones by their shape alone: with a country's prefix, an area in brackets or an extension.
+_SURELY_PHONE = re.compile(r"\+|\(|.*[a-z]")
+
 _ID_LABEL = (
     r"(?:passport|passeport|pasaporte|reisepass(?:nummer)?|social\s+security|national\s+id(?:entity)?(?:\s+card)?|tax\s+(?:id|file)|identity\s+card|id\s+card|"
     r"(?:personal)?ausweis(?:nummer|nr\.?)?|steuer-?(?:id|nummer)|documento\s+de\s+identidad|(?:pi[eè]ce|carte)\s+d['’]identit[eé]|s[eé]curit[eé]\s+sociale|seguridad\s+social|dni|nif|nie|ssn|tfn|nino)"
@@ -219,6 +234,18 @@ _FIRM = frozenset("orchards orchard logistics growers packing cooperative lab st
 _EVERYDAY = frozenset("gold lane rose winter miller pippin amber jade olive summer hazel ruby grace will may april june frank mark baker green brown white black field wood king".split())
 
 
+
+
+def _shorter(word: str) -> set[str]:
+    """The word and what is left of it without any one letter."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+#: Long everyday words with one slip: 'Wintre' is no given name. Short ones are too near to given names (may, Mary).
+_SLIPS = frozenset().union(*(_shorter(w) for w in _EVERYDAY if len(w) > 5))
+_TITLES = frozenset("mrs mr ms miss dr prof frau herr herrn señora señor sra sr mme mlle".split())
+
+
 class Lexicon:
     """Known given and family names; ambiguous ones, everyday words, need a known unambiguous partner."""
 
@@ -238,6 +265,11 @@ class Lexicon:
             return text.index(words[1], a + len(words[0])), b
         return a, b
 
+    def unknown_given(self, text: str, words: list, k: int) -> bool:
+        """Whether a word that the lexicon lacks may be a given name: capitalised inside a sentence, not all capitals, no title, firm or misspelt everyday word."""
+        a, b, w = words[k]
+        return text[a].isupper() and b - a > 2 and not text[a:b].isupper() and w not in self.given and w not in self.family and w not in _FIRM and w not in _EVERYDAY and _SLIPS.isdisjoint(_shorter(w)) and w not in _TITLES and w not in _PARTICLES and not _ordinary(text, words, k) and text[:a].rstrip()[-1] not in "'\">|*-"
+
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         """Names found by their parts: given and family name side by side, in either order, with middle names or initials."""
         given, family = self.given, self.family
@@ -278,6 +310,10 @@ class Lexicon:
                     if gap.isspace() and j >= 1 and words[j - 1][2] in given and text[words[j - 1][1] : p[0]].isspace() and p[2] not in family and text[p[0]].isupper():
                         yield words[j - 1][0], b
                         continue
+                    # an unknown one: its capital tells something, the family name has one too and is nothing else
+                    if gap.isspace() and "\n" not in gap and w not in given and text[a].isupper() and self.unknown_given(text, words, j):
+                        yield p[0], b
+                        continue
                 # family name, given name
                 if nxt and re.fullmatch(r",\s+", text[b : nxt[0]]) and (nxt[2] in given or nxt[1] - nxt[0] == 1 and text[nxt[1] : nxt[1] + 1] == "."):
                     end = nxt[1] + (nxt[1] - nxt[0] == 1)
@@ -341,7 +377,7 @@ def find_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             add(a, b, "address")
     if digits:
         for m in _PHONE.finditer(low):
-            if 7 <= sum(c.isdigit() for c in m[0]) <= 21 and not _NOT_PERSONAL.search(t, max(0, m.start() - 24), m.start()):
+            if 7 <= sum(c.isdigit() for c in m[0]) <= 21 and (_SURELY_PHONE.match(m[0]) or not _NOT_PERSONAL.search(t, max(0, m.start() - 24), m.start())):
                 add(*m.span(), "phone")
         for m in _SHAPED_ID.finditer(t):
             if not _NOT_PERSONAL.search(t, max(0, m.start() - 24), m.start()):

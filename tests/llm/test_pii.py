@@ -54,6 +54,30 @@ def test_cases(text, want, lexicon):
     assert got == want
 
 
+WORDINGS = [
+    ("We saw Xavia Kremamuro near the dock.", [("name", "Xavia Kremamuro")]),
+    ("Xavia Kremamuro", []),
+    ("crates of Wintre Larkeld and Winer Larkeld", []),
+    ("Crates from Frau Kremamuro, Orchards Kremamuro, Belten Gold and the Xavia Kremamuro Orchards", []),
+    ("see KISTE KREMAMURO here", []),
+    ("an ana arroba lab punto test schreiben", [("email", "ana arroba lab punto test")]),
+    ("mail ana at lab point growers point test, please", [("email", "ana at lab point growers point test")]),
+    ("ana punkt lopez @ lab punkt test", [("email", "ana punkt lopez @ lab punkt test")]),
+    ("en ana (arroba) lab punto test", [("email", "ana (arroba) lab punto test")]),
+    ("ana@lab punto test", [("email", "ana@lab punto test")]),
+    ("At this point Mirito Kremamuro met us at dock C, the point of it", [("name", "Mirito Kremamuro")]),
+    ("For my part +999 52 55 50 10 07 is best", [("phone", "+999 52 55 50 10 07")]),
+    ("about that order: (845) 555-0125.", [("phone", "(845) 555-0125")]),
+    ("ticket 845 555 0125 ext. 66", [("phone", "845 555 0125 ext. 66")]),
+    ("ticket 845-555-0125, lot 0595550176", []),
+]
+
+
+@pytest.mark.parametrize("text, want", WORDINGS)
+def test_wordings_of_other_documents(text, want, lexicon):
+    assert [(k, text[a:b]) for a, b, k in find_spans(text, lexicon)] == want
+
+
 def test_offsets_map_back():
     raw = "а​b (at) ｃ.test and one two three four five six seven"
     n = Normal(raw)
