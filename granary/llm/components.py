@@ -163,10 +163,10 @@ def _solve_in_one_task(edges: DataFrame) -> DataFrame:
 
 
 def pruned_components(edges: DataFrame, core_edges: int = 2_000_000, least_shrink: float = 0.5) -> DataFrame:
-    """Components by stripping leaves and ranking chains until the core has at most ``core_edges`` edges or a round removes
-    less than ``least_shrink`` of them.
+    """Components by stripping leaves and ranking chains until no edge is left or a round removes less than ``least_shrink``
+    of them, whatever their number.
 
-    A core within ``core_edges`` (2 million: 32 MB) is solved by one task, a larger one by :func:`star_components`; removed
+    A core then within ``core_edges`` (2 million: 32 MB) is solved by one task, a larger one by :func:`star_components`; removed
     vertices then take the root of the vertex they hung on, last removed first. Empty inputs, rings, stars, lone edges and
     repeated rows are all covered; an empty input gives no row.
     """
@@ -179,7 +179,7 @@ def pruned_components(edges: DataFrame, core_edges: int = 2_000_000, least_shrin
         layers += [leaves] if chains is None else [leaves, chains]
         now, before = cut(rest), left
         left = now.count()
-        if left <= core_edges or left > (1 - least_shrink) * before:
+        if left > (1 - least_shrink) * before:
             break
     labels = cut(_solve_in_one_task(now)) if left <= core_edges else star_components(now)
     for layer in reversed(layers):

@@ -58,6 +58,15 @@ def test_components(spark, name, solve):
         assert {r.id: r.root for r in got} == want
 
 
+def test_pruning_repeats_before_a_task_solves_the_core(spark, monkeypatch):
+    from granary.llm import components
+
+    cores, solve = [], components._solve_in_one_task
+    monkeypatch.setattr(components, "_solve_in_one_task", lambda edges: cores.append(edges.count()) or solve(edges))
+    got = pruned_components(spark.createDataFrame([(i // 2, i) for i in range(2, 128)], "a bigint, b bigint")).collect()
+    assert len(got) == 127 and len({r.root for r in got}) == 1 and cores == [0]
+
+
 def test_paths_take_the_smallest_in_byte_order(spark):
     links = spark.createDataFrame([("b", "é"), ("B", "b"), ("x", "y")], "a string, b string")
     assert {tuple(r) for r in grouped_paths(links).collect()} == {("b", "B"), ("B", "B"), ("é", "B"), ("x", "x"), ("y", "x")}
