@@ -50,7 +50,7 @@ def picture_masks(spark, sf):
 
 def picture_surfaces(spark, sf):
     """Defects, objects, measures and grade of every picture."""
-    return imaging.surface_images(pictures(spark, sf), "hsv", ["vec_id"])
+    return imaging.surface_images(pictures(spark, sf), keep=["vec_id"])
 
 
 def picture_audit(spark, sf):
@@ -65,12 +65,12 @@ def picture_enhancement(spark, sf):
 
 def picture_overlays(spark, sf):
     """B6, B7, K6."""
-    return imaging.overlay_images(pictures(spark, sf), "hsv", ["vec_id"]).select("vec_id", F.sha2("overlay", 256).alias("overlay_sha256"), "blemish_pixels", "objects_detected", "error")
+    return imaging.overlay_images(pictures(spark, sf), keep=["vec_id"]).select("vec_id", F.sha2("overlay", 256).alias("overlay_sha256"), "blemish_pixels", "objects_detected", "error")
 
 
 def picture_crops(spark, sf):
     """B9, P23, J8, W10."""
-    return imaging.crop_objects(pictures(spark, sf), ["vec_id"], method="hsv").select("vec_id", "object_no", "area", "x", "y", "width", "height", F.sha2("crop", 256).alias("crop_sha256"))
+    return imaging.crop_objects(pictures(spark, sf), ["vec_id"]).select("vec_id", "object_no", "area", "x", "y", "width", "height", F.sha2("crop", 256).alias("crop_sha256"))
 
 
 def picture_features(spark, sf):

@@ -125,3 +125,24 @@ def test_forest_query_trains_the_whole_forest(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "train", lambda *a, **k: made.append(train(*a, **k)) or made[-1])
     assert forest_predictions(spark, str(tmp_path)).count() == 40
     assert [(m.stages[-1].getNumTrees, m.stages[-1].getOrDefault("maxDepth")) for m in made] == [(300, 30)]
+
+
+def test_picture_queries_use_the_default_method(spark, tmp_path, monkeypatch):
+    import inspect
+
+    from granary.operators import imaging
+    from granary.plans import pictures
+
+    spark.createDataFrame([(1, [float(i) for i in range(64)], 1)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    used = {}
+    for name in ("surface_images", "overlay_images", "crop_objects"):
+        def recorded(*a, name=name, real=getattr(imaging, name), **k):
+            bound = inspect.signature(real).bind(*a, **k)
+            bound.apply_defaults()
+            used[name] = bound.arguments["method"]
+            return real(*a, **k)
+
+        monkeypatch.setattr(imaging, name, recorded)
+    for query in (pictures.picture_surfaces, pictures.picture_overlays, pictures.picture_crops):
+        assert query(spark, str(tmp_path)).count() == 1
+    assert used == dict.fromkeys(("surface_images", "overlay_images", "crop_objects"), "hybrid_refined")
