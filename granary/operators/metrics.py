@@ -94,6 +94,18 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
 
 
+def epoch_scores(predictions: DataFrame, truth: str, pred: str, by: tuple[str, ...], epoch: str, method: str, labels: tuple[str, ...] = STAGES) -> DataFrame:
+    """``(by, epoch, score)``, the mean of the methods' macro F1; :func:`best_epoch` chooses the checkpoint by it."""
+    return metrics(predictions, truth, pred, (*by, epoch, method), labels=labels).where("scope = 'overall'").groupBy(*by, epoch).agg(F.avg("macro_f1").alias("score"))
+
+
+def mean_losses(batches: DataFrame, by: tuple[str, ...], loss: str, size: str) -> DataFrame:
+    """``(by, train_loss)``, the mean of batch losses weighted by batch size; a loss that isn't finite is an error."""
+    x = F.col(loss).cast("double")
+    finite = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit("nonfinite training loss")).cast("double")).otherwise(x)
+    return batches.groupBy(*by).agg((F.sum(finite * F.col(size)) / F.sum(size)).alias("train_loss"))
+
+
 def best_epoch(history: DataFrame, by: tuple[str, ...], epoch: str, score: str) -> DataFrame:
     """The first epoch with the highest score."""
     return history.groupBy(*by).agg(F.max(score).alias("best_score"), F.max_by(epoch, F.struct(F.col(score), -F.col(epoch))).alias("best_epoch"))

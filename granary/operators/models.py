@@ -1,4 +1,8 @@
-"""Training and applying classifiers on feature arrays (L3-L9): forests, linear heads, nearest centroids."""
+"""Training and applying classifiers on feature arrays (L3, L4, L8): forests, linear heads, nearest centroids.
+
+Checkpoints are chosen in ``metrics`` (L9). Not built: predictions that check the model's processing, feature and method (L5)
+and training from split to evaluation in one call (L6).
+"""
 
 from __future__ import annotations
 

@@ -146,3 +146,17 @@ def test_picture_queries_use_the_default_method(spark, tmp_path, monkeypatch):
     for query in (pictures.picture_surfaces, pictures.picture_overlays, pictures.picture_crops):
         assert query(spark, str(tmp_path)).count() == 1
     assert used == dict.fromkeys(("surface_images", "overlay_images", "crop_objects"), "hybrid_refined")
+
+
+def test_checkpoint_by_mean_macro_f1_and_mean_losses(spark):
+    from granary.operators.metrics import best_epoch, epoch_scores, mean_losses
+
+    rows = [("r", e, m, t, p) for e, m, right in [(1, "hsv", 3), (1, "otsu", 0), (2, "hsv", 2), (2, "otsu", 3), (3, "hsv", 3), (3, "otsu", 2)] for i, t in enumerate(("unripe", "ripe", "overripe")) for p in [t if i < right else "unripe" if t != "unripe" else "ripe"]]
+    scores = epoch_scores(spark.createDataFrame(rows, "run string, epoch int, method string, t string, p string"), "t", "p", ("run",), "epoch", "method")
+    two = (2 / 3 + 1 + 0) / 3
+    assert {r.epoch: round(r.score, 9) for r in scores.collect()} == {1: 0.5, 2: round((two + 1) / 2, 9), 3: round((two + 1) / 2, 9)}
+    assert best_epoch(scores, ("run",), "epoch", "score").first().best_epoch == 2
+    losses = spark.createDataFrame([(1, 2.0, 128), (1, 5.0, 64), (2, 1.0, 10)], "epoch int, loss double, n int")
+    assert {r.epoch: r.train_loss for r in mean_losses(losses, ("epoch",), "loss", "n").collect()} == {1: 3.0, 2: 1.0}
+    with pytest.raises(Exception, match="nonfinite"):
+        mean_losses(spark.createDataFrame([(1, float("nan"), 1)], "epoch int, loss double, n int"), ("epoch",), "loss", "n").collect()
