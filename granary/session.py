@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` of the session; fall back to a temporary folder only in local mode, where none is set."""
+    """Use ``spark.checkpoint.dir`` of the session; where none is set, and only if driver and executors are one process, fall
+    back to a temporary folder that goes with it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -22,9 +26,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
         return
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="granary-checkpoint-"))
+    folder = tempfile.mkdtemp(prefix="granary-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,6 +39,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Remove the files of tables made by :func:`cut` that nothing will read again; others are left alone.
+
+    Whatever was computed from them must itself have been cut, so that no lost task can ask for them.
+    """
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.nodeName() != "LogicalRDD":
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the session's checkpoint folder, which all executors share."""
     ensure_checkpoint_dir(spark)
