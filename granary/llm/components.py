@@ -4,24 +4,20 @@ Input: edges ``(a bigint, b bigint)``; null ends, loops and repeats are ignored.
 vertex with at least one edge; all vertices of a component carry the same ``root``, which is one of them.
 
 * :func:`star_components` - alternating large-star and small-star steps; ``root`` is the smallest id.
-* :func:`pruned_components` - strips degree-one vertices, compresses degree-two chains by list ranking, solves the reduced
-  core (in one task if it is small, else with the star steps) and restores labels to the removed vertices, layer by layer.
+* :func:`pruned_components` - strips degree-one vertices and compresses degree-two chains by list ranking, again and again,
+  solves the reduced core with the star steps and restores labels to the removed vertices, layer by layer.
 
-Hot vertices: degrees and minima are aggregated map-side; edges are removed by anti-joins keyed on the *pair*, never on a
-vertex; what must join on a vertex has a unique small side, so adaptive execution can split the hot partition. Every
-iteration is cut with a reliable checkpoint. No ids, edges or labels reach the driver, only counts: joins are sort-merge joins
-by hint, since a broadcast of every shrinking edge set would pass through the driver.
+Hot vertices: degrees and minima are aggregated map-side; which edges go is decided by grouping on the *pair*, never on a
+vertex; what must join on a vertex has a unique small side, so adaptive execution can split the hot partition. Every step is
+cut with a reliable checkpoint, and superseded ones are removed. No ids, edges or labels reach the driver, only counts: joins
+are sort-merge joins by hint, since a broadcast of every shrinking edge set would pass through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, functions as F
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-
-from granary.session import cut
+from granary.session import cut, release
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -34,14 +30,19 @@ def canonical(edges: DataFrame) -> DataFrame:
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("n")), F.struct(F.col("b").alias("v"), F.col("a").alias("n")))).alias("e")).select("e.v", "e.n")
+    ways = F.array(
+        F.struct(F.col("a").alias("v"), F.col("b").alias("n")),
+        F.struct(F.col("b").alias("v"), F.col("a").alias("n")),
+    )
+    return edges.select(F.explode(ways).alias("e")).select("e.v", "e.n")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex is linked to the smallest member of its neighbourhood."""
     sym = _both_ways(edges)
     least = sym.groupBy("v").agg(F.min("n").alias("m")).select("v", F.least("v", "m").alias("m"))
-    return sym.where("n > v").join(least.hint("merge"), "v").select(F.col("m").alias("a"), F.col("n").alias("b")).where("a <> b").distinct()
+    linked = sym.where("n > v").join(least.hint("merge"), "v")
+    return linked.select(F.col("m").alias("a"), F.col("n").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -54,7 +55,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple[int, int]:
     """Row count and an order-free checksum, to see whether a step changed anything."""
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    r = edges.agg(F.count(F.lit(1)).alias("n"), checksum.alias("h")).first()
     return r["n"], int(r["h"] or 0)
 
 
@@ -67,124 +69,142 @@ def star_components(edges: DataFrame) -> DataFrame:
     now = cut(canonical(edges))
     state = _state(now)
     while state[0]:
-        nxt = cut(_small_star(_large_star(now)))
-        after = _state(nxt)
-        now = nxt
-        if after == state:
+        before, last = state, now
+        now = cut(_small_star(_large_star(now)))
+        state = _state(now)
+        release(last)
+        if state == before:
             break
-        state = after
-    return now.select(F.explode(F.array(F.struct(F.col("b").alias("id"), F.col("a").alias("root")), F.struct(F.col("a").alias("id"), F.col("a").alias("root")))).alias("s")).select("s.id", "s.root").distinct()
+    members = F.array(
+        F.struct(F.col("b").alias("id"), F.col("a").alias("root")),
+        F.struct(F.col("a").alias("id"), F.col("a").alias("root")),
+    )
+    return now.select(F.explode(members).alias("s")).select("s.id", "s.root").distinct()
 
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+# A vertex of degree one or two is light. Light vertices form paths: pending ones that end at a leaf, chains between two
+# heavy vertices, whole components, and rings. One list ranking per round finds the ends of all of them.
 
 
-def _strip_leaves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Removed vertices ``(child, parent)`` of degree one and the edges left. Of an edge that stands alone the larger end goes."""
-    leaves = _both_ways(edges).groupBy("v").agg(F.count(F.lit(1)).alias("d"), F.min("n").alias("n")).where("d = 1")
-    gone = cut(
-        leaves.select(*_pair("v", "n"), "v", "n").groupBy("a", "b").agg(F.count(F.lit(1)).alias("ends"), F.max("v").alias("v"), F.max("n").alias("n"))
-        .select("a", "b", F.when(F.col("ends") == 2, F.col("b")).otherwise(F.col("v")).alias("child"), F.when(F.col("ends") == 2, F.col("a")).otherwise(F.col("n")).alias("parent"))
+def _ends_of_edges(edges: DataFrame) -> DataFrame:
+    """Edges with what is known of their ends: ``(a, b, da, oa, db, ob)``; ``d`` is 1 or 2 for a light end and null for a
+    heavy one, ``o`` the other neighbour of an end of degree two."""
+    degrees = _both_ways(edges).groupBy("v").agg(
+        F.count(F.lit(1)).alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")
+    )
+    none = F.lit(None).cast("bigint")
+    links = F.when(F.col("d") == 1, F.array(F.struct(F.col("lo").alias("n"), none.alias("o")))).otherwise(
+        F.array(F.struct(F.col("lo").alias("n"), F.col("hi").alias("o")), F.struct(F.col("hi").alias("n"), F.col("lo").alias("o")))
+    )
+    light = degrees.where("d <= 2").select("v", "d", F.explode(links).alias("l"))
+    first, second = F.col("v") < F.col("l.n"), F.col("v") > F.col("l.n")
+    seen = light.select(
+        F.least("v", "l.n").alias("a"), F.greatest("v", "l.n").alias("b"),
+        F.when(first, F.col("d")).alias("da"), F.when(first, F.col("l.o")).alias("oa"),
+        F.when(second, F.col("d")).alias("db"), F.when(second, F.col("l.o")).alias("ob"),
+    )
+    plain = edges.select("a", "b", *[none.alias(c) for c in ("da", "oa", "db", "ob")])
+    return plain.unionByName(seen).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("da", "oa", "db", "ob")])
+
+
+def _arcs(ends: DataFrame) -> DataFrame:
+    """Arcs ``(v, h, pv, ph, end, leaf, m)`` out of light vertices ``v`` to a neighbour ``h``: either ``end``, the vertex
+    behind the last of the path (``leaf``: it is the last one itself, of degree one), or the arc ``pv -> ph`` to go on with.
+    ``m`` is the smallest vertex passed so far."""
+    def arc(v: str, h: str, d: str, o: str) -> Column:
+        return F.struct(
+            F.col(v).alias("v"), F.col(h).alias("h"),
+            F.when(F.col(d) == 2, F.col(h)).alias("pv"), F.when(F.col(d) == 2, F.col(o)).alias("ph"),
+            F.when(F.col(d).isNull() | (F.col(d) == 1), F.col(h)).alias("end"), F.coalesce(F.col(d) == 1, F.lit(False)).alias("leaf"),
+            F.col(v).alias("m"),
+        )
+
+    both = F.array(
+        F.when(F.col("da").isNotNull(), arc("a", "b", "db", "ob")), F.when(F.col("db").isNotNull(), arc("b", "a", "da", "oa"))
     )
-    return gone.select("child", "parent"), edges.join(gone.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    return ends.where("da is not null or db is not null").select(F.explode(F.array_compact(both)).alias("s")).select("s.*")
 
 
-def _arcs(state: DataFrame) -> tuple[int, int]:
-    """Number of arcs, and of those that don't know their end yet."""
-    r = state.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("end").isNull()).alias("open")).first()
-    return r["n"], r["open"]
+def _jump(arcs: DataFrame) -> DataFrame:
+    """One round of pointer jumping: an open arc takes over what the arc it points to knows."""
+    step = arcs.select(
+        F.col("v").alias("pv"), F.col("h").alias("ph"), F.col("pv").alias("qv"), F.col("ph").alias("qh"),
+        F.col("end").alias("e"), F.col("leaf").alias("l"), F.col("m").alias("n"),
+    )
+    moved = arcs.where("end is null").drop("end", "leaf").join(step.hint("merge"), ["pv", "ph"]).select(
+        "v", "h", F.col("qv").alias("pv"), F.col("qh").alias("ph"), F.col("e").alias("end"), F.col("l").alias("leaf"),
+        F.least("m", "n").alias("m"),
+    )
+    return arcs.where("end is not null").unionByName(moved)
 
 
-def _jump(state: DataFrame) -> DataFrame:
-    """One round of pointer jumping: an open arc takes over what the arc it points to knows."""
-    step = state.select(F.col("v").alias("pv"), F.col("h").alias("ph"), F.col("pv").alias("qv"), F.col("ph").alias("qh"), F.col("end").alias("e"))
-    moved = state.where("end is null").drop("end").join(step.hint("merge"), ["pv", "ph"]).select("v", "h", F.col("qv").alias("pv"), F.col("qh").alias("ph"), F.col("e").alias("end"))
-    return state.where("end is not null").unionByName(moved)
+def _open(arcs: DataFrame) -> tuple[int, int]:
+    """Number of arcs that don't know their end yet, and the sum of their smallest vertices."""
+    left = F.when(F.col("end").isNull(), F.col("m")).cast("decimal(38,0)")
+    r = arcs.agg(F.count_if(F.col("end").isNull()).alias("n"), F.sum(left).alias("s")).first()
+    return r["n"], int(r["s"] or 0)
 
 
-def _rank_chains(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """Removed chain vertices ``(child, parent)``, None if there is no chain, and the edges left, with one edge between the
-    ends of every chain.
+def _rank(ends: DataFrame) -> DataFrame:
+    """All arcs with their ends, by pointer jumping, which doubles the reach of every arc per round.
 
-    A chain is a maximal path of degree-two vertices. Each of its vertices has two outgoing arcs; pointer jumping doubles the
-    reach of every arc per round, two rounds per checkpoint, until it knows the vertex behind the chain's end. Arcs on rings never end: once only such
-    arcs are left, their number stands still and they stay in the core.
+    Arcs on rings never end. Once only such arcs are left and a round changes none of their smallest vertices, each knows
+    the smallest of its ring: a window that twice its length doesn't better has met all of the ring.
     """
-    inner = _both_ways(edges).groupBy("v").agg(F.count(F.lit(1)).alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("d = 2")
-    arcs = inner.select("v", F.explode(F.array(F.struct(F.col("lo").alias("h"), F.col("hi").alias("o")), F.struct(F.col("hi").alias("h"), F.col("lo").alias("o")))).alias("s")).select("v", "s.h", "s.o")
-    by_edge = arcs.select(*_pair("v", "h"), "v", "o").groupBy("a", "b").agg(F.max(F.when(F.col("v") == F.col("a"), F.col("o"))).alias("oa"), F.max(F.when(F.col("v") == F.col("b"), F.col("o"))).alias("ob"))
-    # arc a->b exists if a is inner; it goes on to b's other neighbour if b is inner too
-    first = by_edge.select(F.explode(F.array(
-        F.struct(F.col("a").alias("v"), F.col("b").alias("h"), F.col("ob").alias("ph"), F.col("oa").isNotNull().alias("ok")),
-        F.struct(F.col("b").alias("v"), F.col("a").alias("h"), F.col("oa").alias("ph"), F.col("ob").isNotNull().alias("ok")),
-    )).alias("s")).where("s.ok").select("s.v", "s.h", F.when(F.col("s.ph").isNotNull(), F.col("s.h")).alias("pv"), "s.ph", F.when(F.col("s.ph").isNull(), F.col("s.h")).alias("end"))
-    state = cut(first)
-    arcs_left, active = _arcs(state)
-    if not arcs_left:
-        return None, edges
-    while active:
-        nxt = cut(_jump(_jump(state)))
-        _, left = _arcs(nxt)
-        state = nxt
-        if left == active:
+    arcs = cut(_arcs(ends))
+    left = _open(arcs)
+    while left[0]:
+        before, last = left, arcs
+        arcs = cut(_jump(arcs))
+        left = _open(arcs)
+        release(last)
+        if left == before:
             break
-        active = left
-    ended = state.where("end is not null")
-    ends = cut(ended.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("e1"), F.max("end").alias("e2")).where("n = 2"))
-    gone_edges = ended.select(*_pair("v", "h")).distinct()
-    new = ends.where("e1 <> e2").select(F.col("e1").alias("a"), F.col("e2").alias("b"))
-    return ends.select(F.col("v").alias("child"), F.col("e1").alias("parent")), edges.join(gone_edges.hint("merge"), ["a", "b"], "left_anti").unionByName(new).distinct()
-
-
-def hook_and_jump(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vertices and roots (smallest ids) of a graph in memory: roots hook onto smaller roots, then paths are halved to stars."""
-    ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent, u, v = np.arange(len(ids)), inverse[: len(a)], inverse[len(a) :]
-    while len(u):
-        pu, pv = parent[u], parent[v]
-        apart = pu != pv
-        u, v, pu, pv = u[apart], v[apart], pu[apart], pv[apart]
-        np.minimum.at(parent, np.maximum(pu, pv), np.minimum(pu, pv))
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-    return ids, ids[parent]
-
-
-def _solve_in_one_task(edges: DataFrame) -> DataFrame:
-    """Components of a core whose size the caller has checked, by one task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
-        if parts:
-            ids, roots = hook_and_jump(*[np.concatenate(p) for p in zip(*parts)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["id", "root"])
-
-    return edges.select("a", "b").coalesce(1).mapInArrow(run, "id bigint, root bigint")
-
-
-def pruned_components(edges: DataFrame, core_edges: int = 2_000_000, least_shrink: float = 0.5) -> DataFrame:
-    """Components by stripping leaves and ranking chains until no edge is left or a round removes less than ``least_shrink``
-    of them, whatever their number.
-
-    A core then within ``core_edges`` (2 million: 32 MB) is solved by one task, a larger one by :func:`star_components`; removed
-    vertices then take the root of the vertex they hung on, last removed first. Empty inputs, rings, stars, lone edges and
-    repeated rows are all covered; an empty input gives no row.
+    return arcs
+
+
+def prune(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round: the light vertices as ``(child, parent)`` and the edges left, with one for every chain between two
+    different heavy vertices. A parent is a heavy end of the path; of a path without one, the smaller of its two leaves; of
+    a ring, its smallest vertex. The last two are no children themselves."""
+    ends = cut(_ends_of_edges(edges))
+    arcs = _rank(ends)
+    heavy = F.when(F.col("end").isNotNull() & ~F.col("leaf"), F.col("end"))
+    paths = arcs.groupBy("v").agg(
+        F.count(F.lit(1)).alias("d"), F.min(heavy).alias("lo"), F.max(heavy).alias("hi"), F.count(heavy).alias("n"),
+        F.min("end").alias("leaf"), F.min("m").alias("ring"),
+    )
+    alone = F.when(F.col("leaf").isNull(), F.col("ring")).when(F.col("d") == 1, F.least("v", "leaf")).otherwise(F.col("leaf"))
+    paths = cut(paths.select("v", F.coalesce("lo", alone).alias("parent"), F.when((F.col("n") == 2) & (F.col("lo") < F.col("hi")), F.col("hi")).alias("other")))
+    release(arcs)
+    new = paths.where("other is not null").select(F.col("parent").alias("a"), F.col("other").alias("b")).distinct()
+    rest = cut(ends.where("da is null and db is null").select("a", "b").unionByName(new).distinct())
+    release(ends)
+    return paths.where("v <> parent").select(F.col("v").alias("child"), "parent"), rest
+
+
+def pruned_components(edges: DataFrame, least_shrink: float = 0.05) -> DataFrame:
+    """Components by rounds of :func:`prune` until no edge is left or a round removes less than ``least_shrink`` of them.
+
+    Trees, paths and rings vanish in a number of rounds logarithmic in their size, pending ones too. What then stays is a
+    core whose vertices have three neighbours or more, but for the few that ever smaller rounds would still peel (strips of
+    triangles lose only their ends in a round); :func:`star_components` solves it, and removed vertices take the root of the
+    vertex they hung on, last removed first. An empty input gives no row.
     """
     now, layers = cut(canonical(edges)), []
     left = now.count()
     while left:
-        leaves, rest = _strip_leaves(now)
-        rest = cut(rest)
-        chains, rest = _rank_chains(rest)
-        layers += [leaves] if chains is None else [leaves, chains]
-        now, before = cut(rest), left
+        layer, rest = prune(now)
+        release(now)
+        layers.append(layer)
+        now, before = rest, left
         left = now.count()
         if left > (1 - least_shrink) * before:
             break
-    labels = cut(_solve_in_one_task(now)) if left <= core_edges else star_components(now)
+    labels = cut(star_components(now)) if left else now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     for layer in reversed(layers):
-        known = layer.join(labels.withColumnRenamed("id", "parent").hint("merge"), "parent", "left").select("child", "parent", F.coalesce("root", "parent").alias("root"), F.col("root").isNull().alias("fresh"))
-        known = cut(known)
-        parents = known.where("fresh").select(F.col("parent").alias("id"), "root").distinct()
-        labels = labels.unionByName(known.select(F.col("child").alias("id"), "root")).unionByName(parents)
+        known = layer.join(labels.withColumnRenamed("id", "parent").hint("merge"), "parent", "left")
+        known = cut(known.select("child", "parent", F.coalesce("root", "parent").alias("root"), F.col("root").isNull().alias("fresh")))
+        own = known.where("fresh").select(F.col("parent").alias("id"), "root").distinct()
+        labels = labels.unionByName(known.select(F.col("child").alias("id"), "root")).unionByName(own)
     return labels

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from granary.llm.components import pruned_components, star_components
+from granary.llm.components import canonical, prune, pruned_components, star_components
 from granary.llm.queries import grouped_paths
 from granary.llm.splits import assign_splits, related, split_conflicts
 
@@ -46,8 +46,20 @@ GRAPHS = {
 }
 
 
+def strip_of_triangles(n, base):
+    return [(base + i, base + i + k) for i in range(n) for k in (1, 2) if i + k < n]
+
+
+GRAPHS |= {
+    "rings_and_paths": [(100 + i, 100 + (i + 1) % 33) for i in range(33)] + [(200 + i, 201 + i) for i in range(50)] + [(300, 301)],
+    "strip": strip_of_triangles(24, 0) + [(23, 50), (50, 51)],
+    "clique": [(i, j) for i in range(8) for j in range(i)] + [(7, 20), (20, 21), (21, 3), (5, 30), (30, 31)],
+    "theta": [(0, 10), (10, 11), (11, 1), (0, 20), (20, 1), (0, 30), (30, 31), (31, 32), (32, 1), (-5, 0), (-6, -5)],
+}
+
+
 @pytest.mark.parametrize("name", GRAPHS)
-@pytest.mark.parametrize("solve", [star_components, pruned_components, partial(pruned_components, core_edges=0, least_shrink=0.1)])
+@pytest.mark.parametrize("solve", [star_components, pruned_components, partial(pruned_components, least_shrink=0.9)])
 def test_components(spark, name, solve):
     edges = GRAPHS[name]
     got = solve(spark.createDataFrame(edges or [(None, None)], "a bigint, b bigint")).collect()
@@ -58,13 +70,34 @@ def test_components(spark, name, solve):
         assert {r.id: r.root for r in got} == want
 
 
-def test_pruning_repeats_before_a_task_solves_the_core(spark, monkeypatch):
+def test_one_round_takes_all_light_vertices(spark):
+    df = spark.createDataFrame(GRAPHS["chains_on_core"], "a bigint, b bigint")
+    layer, rest = prune(canonical(df))
+    removed = {r.child for r in layer.collect()}
+    assert removed == {*range(10, 31), 50, 51, *range(61, 71)} and {tuple(r) for r in rest.collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_pruning_repeats_until_nothing_is_left(spark, monkeypatch):
+    """A tree whose every edge is a chain of eight: each round takes the lowest generation with its chains."""
     from granary.llm import components
 
-    cores, solve = [], components._solve_in_one_task
-    monkeypatch.setattr(components, "_solve_in_one_task", lambda edges: cores.append(edges.count()) or solve(edges))
-    got = pruned_components(spark.createDataFrame([(i // 2, i) for i in range(2, 128)], "a bigint, b bigint")).collect()
-    assert len(got) == 127 and len({r.root for r in got}) == 1 and cores == [0]
+    edges, last = [], 1000
+    for i in range(2, 64):
+        path = [i // 2, *range(last, last + 7), i]
+        edges, last = edges + list(zip(path, path[1:])), last + 7
+    left, once = [], components.prune
+
+    def counted(e):
+        layer, rest = once(e)
+        left.append(rest.count())
+        return layer, rest
+
+    monkeypatch.setattr(components, "prune", counted)
+    out = pruned_components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    got = out.collect()
+    assert len(got) == 63 + 7 * 62 and len({r.root for r in got}) == 1
+    assert len(left) >= 3 and left[-1] == 0 and left == sorted(left, reverse=True)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
 
 
 def test_paths_take_the_smallest_in_byte_order(spark):
