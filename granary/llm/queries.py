@@ -115,8 +115,11 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_alignments(spark: SparkSession, sf: str) -> DataFrame:
-    """Edited and verbatim copies with their best local alignment; a score of 2 per item word is a full verbatim copy."""
-    return all_leaks(spark, sf, edited=True).where("score >= 20").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("verbatim_run").alias("verbatim_run"), F.max("item_words").alias("item_words"))
+    """Edited and verbatim copies with their best local alignment; a score of 2 per item word is a full verbatim copy.
+
+    A pair counts from a score of 20 on, or four fifths of the full score of an item below 13 words.
+    """
+    return all_leaks(spark, sf, edited=True).where("score >= least(20, ceil(1.6 * item_words))").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("verbatim_run").alias("verbatim_run"), F.max("item_words").alias("item_words"))
 
 
 def p8_items(spark: SparkSession, sf: str) -> DataFrame:
