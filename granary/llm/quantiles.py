@@ -1,9 +1,10 @@
-"""Percentiles of very large numeric columns with a deterministic rank error: q-digests.
+"""Percentiles of very large numeric columns with a deterministic error: q-digests.
 
-Values are quantised to a bounded ordered universe of ``2**BITS`` leaves, counted map-side, and the counts are compressed
-along the dyadic tree over the universe: a node whose family holds less than ``n / k`` values passes its count to its
-parent. Digests of partitions or days merge by adding the counts of equal nodes. A digest has at most ``3 k`` nodes, and the
-rank of any answer is off by at most ``BITS * n / k``.
+Finite values of either sign are quantised to a bounded ordered universe of ``2**BITS`` leaves of equal relative width, counted
+map-side, and the counts are compressed along the dyadic tree over the universe: a node whose family holds less than ``n / k``
+values passes its count to its parent. Digests of partitions or days merge by adding the counts of equal nodes. A digest has
+at most ``3 k`` nodes. The leaf of an answer is off by at most ``BITS * n / k`` ranks; as a leaf may hold any number of
+values, answers state bounds of the value, and a bound of the rank that counts the whole leaves.
 """
 
 from __future__ import annotations
@@ -14,22 +15,37 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from granary.session import cut
+from granary.session import bounded, cut
 
-BITS = 20
-#: Leaves per unit of log(1 + value): 1024 gives leaves about 0.1 percent wide, and the largest double still fits.
-STEPS = 1024
+BITS = 22
+#: Leaves per unit of the natural logarithm: leaves are 0.07 percent wide, and all doubles of either sign fit.
+STEPS = 1440
+#: Below the logarithm of the smallest positive double.
+_FLOOR = -744.5
+_ZERO = 1 << (BITS - 1)
 COMPRESSION = 20_000
+#: Parts of a bracket that one more pass counts before values are ordered.
+_PARTS = 1 << 16
 
 
 def leaf_of(value: Column) -> Column:
-    """Leaf of a finite value of 0 or more; monotone in the value."""
-    return F.least(F.floor(F.log1p(value) * STEPS), F.lit((1 << BITS) - 1)).cast("int")
+    """Leaf of a finite value, monotone in the value; zero has a leaf of its own."""
+    size = F.floor((F.ln(F.abs(value)) - _FLOOR) * STEPS).cast("int") + 1
+    return F.when(value == 0, _ZERO).when(value > 0, size + _ZERO).otherwise(F.lit(_ZERO) - size)
+
+
+def _edge(leaf: Column, upper: bool) -> Column:
+    """A bound of the values of a leaf, moved outwards by far more than the logarithm's rounding."""
+    size = F.abs(leaf - _ZERO)
+    out = F.exp((size - F.when((leaf < _ZERO) == F.lit(upper), 1).otherwise(0)) / STEPS + _FLOOR)
+    far = F.lit(1 + 1e-9)
+    wide = F.when((leaf > _ZERO) == F.lit(upper), out * far).otherwise(out / far)
+    return F.when(leaf == _ZERO, 0.0).when(leaf > _ZERO, F.least(wide, F.lit(1.7976931348623157e308))).otherwise(F.greatest(-wide, F.lit(-1.7976931348623157e308)))
 
 
 def valid(value: Column) -> Column:
-    """Finite and not negative (null gives false)."""
-    return F.coalesce((value >= 0) & (value < F.lit(float("inf"))), F.lit(False))
+    """Finite (null gives false)."""
+    return F.coalesce((value > F.lit(float("-inf"))) & (value < F.lit(float("inf"))), F.lit(False))
 
 
 def compress(nodes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +93,7 @@ def _compressed(df: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def digests(values: DataFrame, keys: list[str], value: str = "value", k: int = COMPRESSION) -> DataFrame:
-    """One q-digest per group as rows ``(keys, node, count)``. Invalid values (null, NaN, infinite, negative) are left out.
+    """One q-digest per group as rows ``(keys, node, count)``. Invalid values (null, NaN, infinite) are left out.
 
     Leaf counts are aggregated before the shuffle, so a hot group sends at most one row per leaf and task. Groups without a
     valid value have no digest; null keys are a group.
@@ -91,6 +107,13 @@ def merge(parts: DataFrame, keys: list[str], k: int = COMPRESSION) -> DataFrame:
     return _compressed(parts.groupBy(*keys, "node").agg(F.sum("count").alias("count")), keys, k)
 
 
+def _ranges(digest: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes as ``(keys, count, lo, hi)`` with the first and last leaf of each."""
+    below = F.lit(BITS) - (F.length(F.bin("node")) - 1)
+    lo = F.call_function("shiftleft", F.col("node"), below) - (1 << BITS)
+    return digest.select(*keys, "count", lo.alias("lo"), (lo + F.call_function("shiftleft", F.lit(1).cast("bigint"), below) - 1).alias("hi"))
+
+
 def brackets(digest: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
     """Certain bounds ``(keys, q, n, rank_lo, rank_hi, leaf_lo, leaf_hi)`` of the leaves that hold quantile ``q``.
 
@@ -99,41 +122,57 @@ def brackets(digest: DataFrame, keys: list[str], quantiles: list[float]) -> Data
     possible, and at most the first ``hi`` that reaches it when all count as late as possible.
     """
     part = ", ".join(f"`{x}`" for x in keys)
-    level = F.length(F.bin("node")) - 1
-    lo = F.call_function("shiftleft", F.col("node"), F.lit(BITS) - level) - (1 << BITS)
-    nodes = digest.select(*keys, "count", lo.alias("lo"), (lo + F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(BITS) - level) - 1).alias("hi"))
-    n = nodes.withColumn("n", F.expr(f"sum(count) over (partition by {part})"))
+    n = _ranges(digest, keys).withColumn("n", F.expr(f"sum(count) over (partition by {part})"))
     n = n.withColumn("by_lo", F.expr(f"sum(count) over (partition by {part} order by lo)")).withColumn("by_hi", F.expr(f"sum(count) over (partition by {part} order by hi)"))
     asked = n.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     asked = asked.withColumn("rank_lo", F.floor(F.col("q") * (F.col("n") - 1))).withColumn("rank_hi", F.ceil(F.col("q") * (F.col("n") - 1)))
     return asked.groupBy(*keys, "q", "n", "rank_lo", "rank_hi").agg(F.min(F.when(F.col("by_lo") > F.col("rank_lo"), F.col("lo"))).alias("leaf_lo"), F.min(F.when(F.col("by_hi") > F.col("rank_hi"), F.col("hi"))).alias("leaf_hi"))
 
 
-def percentiles(digest: DataFrame, keys: list[str], quantiles: list[float], k: int = COMPRESSION) -> DataFrame:
+def percentiles(digest: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
     """Approximate quantiles ``(keys, q, n, value, lower, upper, rank_error)`` from digests alone.
 
-    ``lower`` and ``upper`` certainly enclose the quantile; ``value`` is the upper leaf's lower edge; ``rank_error`` is the
-    guaranteed bound on the number of values between ``value`` and the quantile.
+    ``lower`` and ``upper`` certainly enclose the quantile and ``value`` lies between them; ``rank_error`` certainly bounds
+    the number of values between ``value`` and the quantile: all that may lie in the leaves from ``lower`` to ``upper``,
+    however many one leaf holds.
     """
-    b = brackets(digest, keys, quantiles)
-    return b.select(*keys, "q", "n", F.expm1(F.col("leaf_hi") / STEPS).alias("value"), F.expm1(F.col("leaf_lo") / STEPS).alias("lower"), F.expm1((F.col("leaf_hi") + 1) / STEPS).alias("upper"), F.ceil(F.lit(BITS) * F.col("n") / k).alias("rank_error"))
+    own = [f"__key{i}" for i in range(len(keys))]
+    b = brackets(digest, keys, quantiles).select(*[F.col(x).alias(y) for x, y in zip(keys, own)], "q", "n", "leaf_lo", "leaf_hi")
+    same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(keys, own)])
+    met = _ranges(digest, keys).join(b, same & (F.col("lo") <= F.col("leaf_hi")) & (F.col("hi") >= F.col("leaf_lo")))
+    found = met.groupBy(*keys, "q", "n", "leaf_lo", "leaf_hi").agg(F.sum("count").alias("rank_error"))
+    bounds = found.withColumn("lower", _edge(F.col("leaf_lo"), False)).withColumn("upper", _edge(F.col("leaf_hi"), True))
+    return bounds.select(*keys, "q", "n", (F.col("lower") / 2 + F.col("upper") / 2).alias("value"), "lower", "upper", "rank_error")
 
 
 def exact_quantile(values: DataFrame, keys: list[str], q: float, value: str = "value", digest: DataFrame | None = None, k: int = COMPRESSION) -> DataFrame:
-    """``(keys, quantile)`` exactly, interpolated between neighbours: the digest brackets it, one more pass settles it.
+    """``(keys, quantile)`` exactly, interpolated between neighbours: the digest brackets it, two more passes settle it.
 
-    Only values inside the bracket, at most the rank error and one leaf, are counted by value and ordered; repeated values
-    cost one row.
+    The bracket is cut into 65,536 parts of equal width, whose counts tell the parts that hold the two ranks; only the
+    values of these parts are counted by value and ordered, so that no task orders more than a sliver of a group unless its
+    values lie denser than that, and repeated values cost one row.
     """
     own = [f"__key{i}" for i in range(len(keys))]
     found = brackets(digest if digest is not None else digests(values, keys, value, k), keys, [q])
-    found = found.select(*[F.col(x).alias(y) for x, y in zip(keys, own)], "n", "q", "rank_lo", "rank_hi", "leaf_lo", "leaf_hi")
+    found = found.select(*[F.col(x).alias(y) for x, y in zip(keys, own)], "n", "q", "rank_lo", "rank_hi", "leaf_lo", "leaf_hi", _edge(F.col("leaf_lo"), False).alias("lower"), _edge(F.col("leaf_hi"), True).alias("upper"))
+    found = cut(found)
     part = ", ".join(f"`{x}`" for x in keys)
     same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(keys, own)])
-    leaf = leaf_of(F.col("__value"))
-    near = values.where(valid(F.col(value))).select(*keys, F.col(value).alias("__value")).join(found, same).where(leaf <= F.col("leaf_hi")).select(*keys, "n", "q", "rank_lo", "rank_hi", F.when(leaf >= F.col("leaf_lo"), F.col("__value")).alias("v"))
-    counts = near.groupBy(*keys, "n", "q", "rank_lo", "rank_hi", "v").agg(F.count(F.lit(1)).alias("c"))
-    cum = counts.withColumn("upto", F.expr(f"sum(c) over (partition by {part} order by v nulls first)"))
-    at = lambda r: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > F.col(r)), F.col("v")))
-    ends = cum.groupBy(*keys, "n", "q", "rank_lo", "rank_hi").agg(at("rank_lo").alias("a"), at("rank_hi").alias("b"))
+    leaf, ranks = leaf_of(F.col("__value")), ["n", "q", "rank_lo", "rank_hi"]
+    near = values.where(valid(F.col(value))).select(*keys, F.col(value).cast("double").alias("__value")).join(bounded(found), same).where(leaf <= F.col("leaf_hi"))
+    place = F.floor((F.col("__value") / 2 - F.col("lower") / 2) / (F.col("upper") / 2 - F.col("lower") / 2) * _PARTS).cast("int")
+    inside = F.greatest(F.lit(0), F.least(F.coalesce(place, F.lit(0)), F.lit(_PARTS - 1)))
+    near = near.select(*keys, *ranks, "__value", F.when(leaf >= F.col("leaf_lo"), inside).otherwise(-1).alias("__part"))
+    counts = near.groupBy(*keys, *ranks, "__part").agg(F.count(F.lit(1)).alias("c"))
+    cum = counts.withColumn("upto", F.expr(f"sum(c) over (partition by {part} order by __part)"))
+    first = lambda c, r: F.min(F.when((F.col("__part") >= 0) & (F.col("upto") > F.col(r)), c))
+    parts = cum.groupBy(*keys, *ranks).agg(
+        first(F.col("__part"), "rank_lo").alias("part_a"), first(F.col("__part"), "rank_hi").alias("part_b"), first(F.col("upto") - F.col("c"), "rank_lo").alias("before")
+    )
+    parts = cut(parts.select(*[F.col(x).alias(y) for x, y in zip(keys, own)], "part_a", "part_b", "before"))
+    few = near.join(bounded(parts), same).where((F.col("__part") == F.col("part_a")) | (F.col("__part") == F.col("part_b")))
+    counts = few.groupBy(*keys, *ranks, "before", F.col("__value").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    cum = counts.withColumn("upto", F.col("before") + F.expr(f"sum(c) over (partition by {part} order by v)"))
+    at = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col("v")))
+    ends = cum.groupBy(*keys, *ranks).agg(at("rank_lo").alias("a"), at("rank_hi").alias("b"))
     return ends.select(*keys, "n", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("q") * (F.col("n") - 1) - F.col("rank_lo"))).alias("quantile"))

@@ -72,10 +72,11 @@ def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def timings(spark: SparkSession, sf: str) -> DataFrame:
-    """``(result_id, method, field, day, value)`` of all valid timings; repeated rows count once, null methods have no row."""
+    """``(result_id, method, field, day, value)`` of all finite timings of 0 or more; repeated rows count once, null methods have
+    no row."""
     rows = table(spark, sf, "result_rows").select("result_id", category(F.col("method")).alias("method"), F.to_date("created_at").alias("day"), "processing_ms", "prediction_ms").where("method is not null").distinct()
     long = rows.select("result_id", "method", "day", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("processing_ms", "prediction_ms")])).alias("e"))
-    return long.select("result_id", "method", "e.field", "day", "e.value").where(valid(F.col("value")))
+    return long.select("result_id", "method", "e.field", "day", "e.value").where(valid(F.col("value")) & (F.col("value") >= 0))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import quantiles as Q
 
@@ -10,7 +11,7 @@ from granary.llm import quantiles as Q
 def test_compression_keeps_count_and_rank_error():
     rng = np.random.default_rng(1)
     leaves = rng.lognormal(5, 1.5, 50_000)
-    q = np.minimum(np.floor(np.log1p(leaves) * Q.STEPS), (1 << Q.BITS) - 1).astype(np.int64)
+    q = np.floor((np.log(leaves) - Q._FLOOR) * Q.STEPS).astype(np.int64) + 1 + Q._ZERO
     node, count = np.unique(q + (1 << Q.BITS), return_counts=True)
     k = 200
     n, c = Q.compress(node, count, k)
@@ -28,7 +29,7 @@ def test_compression_keeps_count_and_rank_error():
 def values(spark):
     r = random.Random(2)
     rows = [("a", d, r.lognormvariate(4, 1)) for d in range(5) for _ in range(700)] + [("a", 1, 50.0)] * 3000
-    rows += [("b", 0, float(i)) for i in range(10)] + [("b", 0, x) for x in (None, float("nan"), float("inf"), -1.0)] + [("c", 0, None), (None, 0, 3.0)]
+    rows += [("b", 0, float(i)) for i in range(10)] + [("b", 0, x) for x in (None, float("nan"), float("inf"), -1.0, -250.5)] + [("c", 0, None), (None, 0, 3.0)]
     return rows, spark.createDataFrame(rows, "g string, day int, value double").cache()
 
 
@@ -39,7 +40,7 @@ def test_exact_median_from_merged_days(values, k):
     for q in (0.5, 0.0, 1.0, 0.93):
         got = {r.g: (r.n, r.quantile) for r in Q.exact_quantile(df, ["g"], q, digest=d, k=k).collect()}
         for g in ("a", "b", None):
-            v = [x for h, _, x in rows if h == g and x is not None and 0 <= x < math.inf]
+            v = [x for h, _, x in rows if h == g and x is not None and math.isfinite(x)]
             assert got[g][0] == len(v) and got[g][1] == pytest.approx(np.quantile(v, q), rel=1e-12)
         assert "c" not in got
 
@@ -47,10 +48,32 @@ def test_exact_median_from_merged_days(values, k):
 def test_percentiles_enclose(values):
     rows, df = values
     v = np.sort([x for h, _, x in rows if h == "a"])
-    for r in Q.percentiles(Q.digests(df, ["g"], k=100), ["g"], [0.1, 0.5, 0.99], 100).where("g = 'a'").collect():
+    for r in Q.percentiles(Q.digests(df, ["g"], k=100), ["g"], [0.1, 0.5, 0.99]).where("g = 'a'").collect():
         rank = r.q * (len(v) - 1)
         assert r.lower <= v[math.ceil(rank)] and v[math.floor(rank)] <= r.upper
-        assert r.n == len(v) and r.rank_error == math.ceil(20 * len(v) / 100)
+        assert r.n == len(v) and r.lower <= r.value <= r.upper
+        exact = np.quantile(v, r.q)
+        assert ((v > min(r.value, exact)) & (v < max(r.value, exact))).sum() <= r.rank_error <= Q.BITS * len(v) / 100 + ((v >= r.lower) & (v <= r.upper)).sum()
+
+
+def test_a_million_values_in_one_leaf(spark):
+    df = spark.range(1_000_000).select(F.lit("a").alias("g"), (100.03 + F.col("id") * 5e-8).alias("value")).unionByName(spark.range(10).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("value")))
+    (r,) = Q.percentiles(Q.digests(df, ["g"]), ["g"], [0.5]).collect()
+    v = np.sort(np.concatenate([np.arange(10.0), 100.03 + np.arange(1_000_000) * 5e-8]))
+    exact = np.quantile(v, 0.5)
+    assert r.lower <= exact <= r.upper and r.upper / r.lower < 1.0015
+    assert ((v > min(r.value, exact)) & (v < max(r.value, exact))).sum() <= r.rank_error
+    (e,) = Q.exact_quantile(df, ["g"], 0.5).collect()
+    assert e.quantile == pytest.approx(exact, rel=1e-15)
+
+
+def test_leaves_are_relative_and_monotone(spark):
+    x = np.array([-1.7e308, -3.0, -1e-9, -5e-324, 0.0, 5e-324, 1e-300, 1e-9, 1.0001e-9, 0.5, 0.502, 1.0, 100.0, 1.7e308])
+    rows = spark.createDataFrame([(float(v),) for v in x], "v double")
+    got = rows.select("v", Q.leaf_of(F.col("v")).alias("leaf"), Q._edge(Q.leaf_of(F.col("v")), False).alias("a"), Q._edge(Q.leaf_of(F.col("v")), True).alias("b")).orderBy("v").collect()
+    leaves = [r.leaf for r in got]
+    assert leaves == sorted(leaves) and 0 < leaves[0] and leaves[-1] < 1 << Q.BITS and len(set(leaves)) >= len(x) - 1
+    assert all(r.a <= r.v <= r.b for r in got)
 
 
 def test_empty(values):
