@@ -154,6 +154,15 @@ m AS (SELECT DISTINCT image_id, CASE WHEN s = 'val' THEN 'validation' WHEN s <>
   FROM (SELECT image_id, lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) AS s, lower(regexp_replace(fruit, '^\s+|\s+$', '', 'g')) AS f, lower(regexp_replace(specimen, '^\s+|\s+$', '', 'g')) AS p,
     regexp_replace(lower(regexp_replace(sha256, '^\s+|\s+$', '', 'g')), '^sha256:\s*', '') AS h FROM baseline_manifest))
 """
+_RELATED = f"{_MEMBERS}, e AS (SELECT a.image_id AS i, b.image_id AS j FROM m a JOIN m b ON a.sha = b.sha UNION SELECT a.image_id, b.image_id FROM m a JOIN m b ON a.piece = b.piece), r AS (SELECT DISTINCT image_id AS i, image_id AS j FROM m UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j)"
+_SPLIT = r"""
+g AS (SELECT i, min(j) AS root FROM r GROUP BY i), f AS (SELECT image_id, min(fruit) AS fruit FROM fruits GROUP BY 1),
+per AS (SELECT root, coalesce(fruit, '') AS stratum, count(*) AS n FROM g JOIN f ON f.image_id = g.i GROUP BY ALL),
+c AS (SELECT root, sum(n)::BIGINT AS n, min({'k': -n, 's': stratum}).s AS stratum, (('0x' || md5(root::VARCHAR)[1:8])::UBIGINT // 1048576)::INT AS place FROM per GROUP BY root),
+z AS (SELECT *, sum(n) OVER (PARTITION BY stratum) AS total, n > sum(n) OVER (PARTITION BY stratum) * 0.02::DOUBLE AS big FROM c),
+m AS (SELECT stratum, place, any_value(total) AS total, any_value(filled) + sum(sum(n)) OVER (PARTITION BY stratum ORDER BY place) - sum(n) / 2::DOUBLE AS middle
+  FROM (SELECT *, coalesce(sum(n) FILTER (WHERE big) OVER (PARTITION BY stratum), 0) AS filled FROM z) WHERE NOT big GROUP BY stratum, place)
+"""
 _TIMES = r"""
 t AS (SELECT DISTINCT result_id, lower(regexp_replace(method, '^\s+|\s+$', '', 'g')) AS method, unnest(['processing_ms', 'prediction_ms']) AS field, unnest([processing_ms, prediction_ms]) AS v FROM result_rows WHERE method IS NOT NULL)
 """
@@ -163,8 +172,15 @@ SQL: dict[str, str] = {
     "p1_found": f"""WITH RECURSIVE l AS (SELECT DISTINCT p, q FROM (SELECT {_PLAIN.format(c='path_a')} AS p, {_PLAIN.format(c='path_b')} AS q FROM audit_pairs WHERE distance BETWEEN 0 AND 4) WHERE p <> '' AND q <> '' AND p <> q),
       e AS (SELECT p, q FROM l UNION SELECT q, p FROM l), r AS (SELECT p AS path, p AS other FROM e UNION SELECT r.path, e.q FROM r JOIN e ON e.p = r.other) SELECT path, min(other) AS group_path FROM r GROUP BY path""",
     "p2_found": f"WITH {_CODE}, n AS (SELECT a.image_id AS i, b.image_id AS j, bit_count(xor(a.code, b.code)) AS d FROM codes a JOIN codes b ON a.image_id <> b.image_id AND bit_count(xor(a.code, b.code)) <= 7 QUALIFY row_number() OVER (PARTITION BY a.image_id ORDER BY d, b.image_id) <= 5) SELECT DISTINCT least(i, j) AS image_a, greatest(i, j) AS image_b FROM n",
-    "p3_found": f"WITH RECURSIVE {_MEMBERS}, e AS (SELECT a.image_id AS i, b.image_id AS j FROM m a JOIN m b ON a.sha = b.sha UNION SELECT a.image_id, b.image_id FROM m a JOIN m b ON a.piece = b.piece), r AS (SELECT DISTINCT image_id AS i, image_id AS j FROM m UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j) SELECT r.i AS image_id FROM r JOIN m ON m.image_id = r.j GROUP BY 1 HAVING count(DISTINCT m.split) > 1",
+    "p3_found": f"WITH RECURSIVE {_RELATED} SELECT r.i AS image_id FROM r JOIN m ON m.image_id = r.j GROUP BY 1 HAVING count(DISTINCT m.split) > 1",
+    "p3_splits": "WITH RECURSIVE " + _RELATED + r""", fruits AS (SELECT image_id, nullif(lower(regexp_replace(fruit, '^\s+|\s+$', '', 'g')), '') AS fruit FROM baseline_manifest WHERE image_id IS NOT NULL), """
+      + _SPLIT.replace("m AS", "mass AS") + "SELECT g.i AS image_id, g.root AS group_id, CASE WHEN z.big OR middle < z.total * 0.77::DOUBLE THEN 'train' WHEN middle < z.total * 0.94::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM g JOIN z USING (root) LEFT JOIN mass USING (stratum, place)",
     "p5_found": f"WITH {_TIMES}, g AS (SELECT *, median(v) OVER (PARTITION BY method, field) AS mid FROM t WHERE v >= 0 AND isfinite(v)) SELECT DISTINCT result_id, field FROM g WHERE v > 10 * mid",
     "p6_found": f"WITH {_CODE}, f AS (SELECT * FROM codes WHERE s = 'train'), h AS (SELECT * FROM codes WHERE s IN ('test', 'val')) SELECT DISTINCT least(f.image_id, h.image_id) AS image_a, greatest(f.image_id, h.image_id) AS image_b FROM f JOIN h ON f.image_id <> h.image_id AND (f.px = h.px AND length(f.px) = 64 OR bit_count(xor(f.code, h.code)) <= 4)",
+    "p6_report": f"""WITH {_CODE}, f AS (SELECT * FROM codes WHERE s = 'train'), h AS (SELECT * FROM codes WHERE s IN ('test', 'val')),
+      p AS (SELECT f.image_id AS t, h.image_id AS e, unnest([CASE WHEN f.px = h.px AND length(f.px) = 64 THEN 'pixel' END, CASE WHEN bit_count(xor(f.code, h.code)) <= 4 THEN 'phash' END]) AS evidence FROM f JOIN h ON f.image_id <> h.image_id AND (f.px = h.px AND length(f.px) = 64 OR bit_count(xor(f.code, h.code)) <= 4)),
+      own AS (SELECT DISTINCT image_id, CASE WHEN s = 'val' THEN 'validation' ELSE s END AS split, source FROM (SELECT image_id, replace(lower(regexp_replace(source_split, '^\\s+|\\s+$', '', 'g')), 'validation', 'val') AS s, source FROM audit_manifest) WHERE s IN ('val', 'test'))
+      SELECT split, source, evidence, count(DISTINCT e) AS n_images, count(*) AS n_pairs FROM (SELECT DISTINCT t, e, evidence FROM p WHERE evidence IS NOT NULL) JOIN own ON own.image_id = e GROUP BY ALL""",
+    "p8_items": f"WITH d AS ({_WINDOWS.format(k='doc_id', t='documents')}), i AS ({_WINDOWS.format(k='item_id', t='eval_items')}), n AS (SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM d JOIN i USING (g) WHERE doc_id IS NOT NULL GROUP BY 1) SELECT DISTINCT item_id, subset, coalesce(n_docs, 0) AS n_docs FROM eval_items LEFT JOIN n USING (item_id)",
     "p8_found": f"WITH d AS ({_WINDOWS.format(k='doc_id', t='documents')}), i AS ({_WINDOWS.format(k='item_id', t='eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
 }

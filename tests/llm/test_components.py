@@ -6,7 +6,7 @@ import pytest
 
 from granary.llm.components import canonical, prune, pruned_components, star_components
 from granary.llm.queries import grouped_paths
-from granary.llm.splits import assign_splits, related, split_conflicts
+from granary.llm.splits import assign_splits, component_ranges, related, split_conflicts
 
 
 def brute(edges):
@@ -137,3 +137,16 @@ def test_splits_keep_groups_and_shares(spark):
     assert abs(share["train"] - 0.77) < 0.02 and abs(share["validation"] - 0.17) < 0.02 and abs(share["test"] - 0.06) < 0.02
     assert sorted(got) == sorted(tuple(x) for x in assign_splits(df.repartition(5), g, "fruit").collect())
     assert assign_splits(df.limit(0), g.limit(0), "fruit").count() == 0
+
+
+def test_stored_ranges_keep_old_components_where_they_are(spark):
+    r = random.Random(5)
+    make = lambda lo, hi: [(i, f"f{i % 3}", f"h{i // 3 if r.random() < 0.8 else i}") for i in range(lo, hi)]
+    rows = make(0, 4000)
+    old = spark.createDataFrame(rows, "id bigint, fruit string, sha string")
+    new = spark.createDataFrame(rows + make(100_000, 103_000) + [(200_000, "f9", "z"), (200_001, None, None)], "id bigint, fruit string, sha string")
+    g_old, g_new = related(old, ["sha"]), related(new, ["sha"])
+    ranges = component_ranges(old, g_old, "fruit")
+    before = {x.id: x.split for x in assign_splits(old, g_old, "fruit").collect()}
+    after = {x.id: x.split for x in assign_splits(new, g_new, "fruit", ranges=ranges).collect()}
+    assert len(after) == 7002 and all(after[i] == s for i, s in before.items())
