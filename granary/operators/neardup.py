@@ -3,20 +3,36 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from granary.session import cut
+
 BITS = 64
 
 
-def code_pairs(left: DataFrame, right: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
+def blocks_for(left: int, right: int, radius: int) -> int:
+    """The number of blocks that costs least for so many distinct codes a side: each of the tables holds every code, and
+    evenly spread codes meet by chance in the more pairs the shorter the key is. Keys thus grow with the data: at radius 4 it
+    is 6 blocks (21 bits) up to some ten million codes, then 7 (27 bits), then 8 (32 bits), so that chance pairs stay in
+    proportion to the codes."""
+    def cost(b: int) -> float:
+        return comb(b, radius) * (left + right + left * right / 2.0 ** (BITS * (b - radius) / b))
+
+    return min(range(radius + 1, min(16, radius + 6) + 1), key=cost)
+
+
+def code_pairs(left: DataFrame, right: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """All pairs ``(x, y, distance)`` of a code of ``left`` and one of ``right`` within ``radius`` bits.
 
     Codes are cut into ``blocks`` blocks; at most ``radius`` of them differ, so the others agree: one table for each choice
-    of ``blocks - radius`` blocks is joined on these blocks. More blocks give longer keys and smaller buckets for more
-    tables (6 blocks at radius 4: 15 tables, keys of 20 to 22 bits; 7 blocks: 35 tables, 27 bits). A pair counts in the
-    first table whose blocks agree, so none comes twice. Inputs need a ``code`` column; nulls are ignored.
+    of ``blocks - radius`` blocks is joined on these blocks. Without ``blocks`` the sides are counted and :func:`blocks_for`
+    chooses. A pair counts in the first table whose blocks agree, so none comes twice. Inputs need a ``code`` column; nulls
+    are ignored.
     """
+    if blocks is None:
+        blocks = blocks_for(left.count(), right.count(), radius)
     if not 0 <= radius < blocks <= 16:
         raise ValueError("radius must be below the number of blocks")
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -53,7 +69,7 @@ def copy_classes(rows: DataFrame, path: str, code: str, pixels: str) -> DataFram
     return ok.join(ok.groupBy(code, pixels).agg(F.min(path).alias("class_path"), F.count(F.lit(1)).alias("class_size")), [code, pixels])
 
 
-def near_duplicates(rows: DataFrame, path: str, code: str, pixels: str, split: str, label: list[str], radius: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(rows: DataFrame, path: str, code: str, pixels: str, split: str, label: list[str], radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Pairs ``(path_a, path_b, distance, cross_split, conflicting_labels)`` of class representatives, ``path_a < path_b``.
 
     Rows of equal hash and pixels form a class that its smallest path represents (:func:`copy_classes` gives membership), so
@@ -62,8 +78,8 @@ def near_duplicates(rows: DataFrame, path: str, code: str, pixels: str, split: s
     if not 0 <= radius <= 8:
         raise ValueError("the distance must be 0 to 8")
     ok = rows.where(F.col(code).isNotNull() & F.col(pixels).isNotNull())
-    reps = ok.groupBy(F.col(code).alias("code"), F.col(pixels).alias("px")).agg(F.min_by(F.struct(F.col(path).alias("path"), F.col(split).alias("split"), *[F.col(x).alias(f"l{i}") for i, x in enumerate(label)]), path).alias("r")).select("code", "px", "r.*")
-    pairs = code_pairs(reps.select("code"), reps.select("code"), radius, max(blocks, radius + 1))
+    reps = cut(ok.groupBy(F.col(code).alias("code"), F.col(pixels).alias("px")).agg(F.min_by(F.struct(F.col(path).alias("path"), F.col(split).alias("split"), *[F.col(x).alias(f"l{i}") for i, x in enumerate(label)]), path).alias("r")).select("code", "px", "r.*"))
+    pairs = code_pairs(reps.select("code"), reps.select("code"), radius, blocks)
     side = lambda c, p: reps.select(F.col("code").alias(c), *[F.col(x).alias(f"{p}_{x}") for x in ("px", "path", "split", *[f"l{i}" for i in range(len(label))])])
     j = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").where("a_path < b_path and a_px <> b_px")
     conflict = F.lit(False)
