@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from granary.functions.normalize import category, digest, phash_bits, plain_path, specimen_name, split_name
 from granary.llm.components import pruned_components, star_components
 from granary.llm.leakage import leaks
-from granary.llm.hamming import cross_split_overlap, nearest_neighbours
+from granary.llm.hamming import cross_split_overlap, nearest_neighbours, overlap_report, similar_vectors
 from granary.llm.pii import personal_information
 from granary.llm.quantiles import digests, exact_quantile, merge, percentiles, valid
 from granary.llm.splits import assign_splits, related, split_conflicts
@@ -44,6 +44,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_neighbours(image_codes(spark, sf)).select(F.least("id", "neighbour").alias("image_a"), F.greatest("id", "neighbour").alias("image_b")).distinct()
 
 
+def p2_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest embeddings of every twentieth one among all, by learned codes and float distances."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return similar_vectors(rows, rows.where("id % 20 = 0")).select(F.col("id").alias("vec_id"), "neighbour", F.round("distance", 5).alias("distance"), "rank")
+
+
 def split_images(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "audit_manifest").select("image_id", split_name(F.col("source_split")).alias("split"), "source", digest(F.col("pixel_sha256")).alias("pixel"), phash_bits(F.col("phash")).alias("code"))
 
@@ -94,11 +100,7 @@ def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation images with a training counterpart, and the pairs, per evaluation split, source and kind of evidence."""
-    images = split_images(spark, sf)
-    pairs = cut(cross_split_overlap(images))
-    held = images.where("split in ('validation', 'test')").select("image_id", "split", "source").distinct()
-    sides = pairs.select(F.explode(F.array("image_a", "image_b")).alias("image_id"), "evidence")
-    return sides.join(held, "image_id").groupBy("split", "source", "evidence").agg(F.countDistinct("image_id").alias("n_images"), F.count(F.lit(1)).alias("n_pairs"))
+    return overlap_report(split_images(spark, sf))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +141,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return personal_information(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "name_lexicon"), replace=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p5_found, p5_percentiles, p6_found, p6_report, p7_ids, p8_found, p8_alignments, p8_items, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_vectors, p3_found, p3_splits, p5_found, p5_percentiles, p6_found, p6_report, p7_ids, p8_found, p8_alignments, p8_items, p9_found, p9_redacted)}
 
 _PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '[\\/]+', '/', 'g'), '^(\./)+', ''), '/(\./)+', '/', 'g')"
 _CODE = r"""
