@@ -51,6 +51,28 @@ def test_batches_equal_single_texts(encoder):
     assert [a.tolist() for a in encoder.pack([])] == [[0], []]
 
 
+def test_chunks_that_agree_nowhere_are_encoded_anew():
+    """Tokens of two bytes, counted from the start of the text: a chunk's own tokens end at firm places only by chance."""
+    import numpy as np
+
+    enc = T.ChunkEncoder(lambda t: [len(t[i : i + 2]) for i in range(0, len(t), 2)], [0, 1, 2])
+    assert enc._middle(b"abc d e fgh ijk") == (0, 0, b"") or enc._middle(b"abc d e fgh ijk")[0] % 2 == 0
+    enc = T.ChunkEncoder(lambda t: [len(t)], list(range(100_000)))
+    text = " ".join(f"word{i}" for i in range(500)).encode()
+    assert len(T.cut_places(text)) > 5 and enc(text) == [len(text)]
+
+
+def test_other_patterns_are_encoded_whole(spark):
+    import tiktoken
+
+    pattern = r"[^\s\p{L}]+[\r\n]*|\p{L}+[\r\n ]*|\s+"
+    text = "\n".join(f"so, {i} lines end here!" for i in range(200))
+    ranks = {T.base64.b64decode(a): int(b) for a, b in (x.split() for x in open(T.vocabulary_path("byte_bpe_50k.tiktoken"), "rb").read().splitlines() if x)}
+    want = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    (got,) = T.encode_corpus(spark.createDataFrame([(1, text)], "i int, t string"), "i", "t", pattern=pattern).collect()
+    assert list(got.ids) == want
+
+
 def test_equal_passages_share_chunks(encoder):
     passage = " ".join(f"the {i} brown foxes jumped over {i * 7} dogs" for i in range(60)).encode()
     a, b = b"some other beginning; " + passage, b"x " + passage
