@@ -14,6 +14,8 @@ from json.decoder import scanstring
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from granary.session import cut
+
 _TOKEN = re.compile(
     r'[ \t\n\r]*(?:([\[{])|([\]}])|"((?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+)"(?:[ \t\n\r]*(:))?'
     r"|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)|(,))"
@@ -234,12 +236,39 @@ def flatten_records(records: DataFrame, keys: list[str], column: str, nesting: N
     return out.select(*keys, "level", *names, last.alias("fields"))
 
 
-def child_table(flat: DataFrame, nesting: Nesting, table: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+def child_table(flat: DataFrame, nesting: Nesting, table: str, columns: dict[str, tuple[str | tuple[str, ...], str]]) -> DataFrame:
     """The table of one level: keys of the record and all parents, then ``columns`` (name: path, type) cast with ``try_cast``.
 
-    Fields of other names are left in ``fields`` of ``flat``.
+    Of several paths the first that has a value counts. Fields of other names are those of :func:`other_fields`.
     """
-    level = [x.table for x in nesting.levels].index(table)
-    numbers = [f"{x.table}_no" for x in nesting.levels[: level + 1]]
-    own = [c for c in flat.columns if c not in {"level", "fields", *(f"{x.table}_no" for x in nesting.levels)}]
-    return flat.where(F.col("level") == level).select(*own, *numbers, *[F.expr(f"try_cast(fields['{path}'] as {kind})").alias(name) for name, (path, kind) in columns.items()])
+    numbers = [f"{x.table}_no" for x in nesting.levels[: _level(nesting, table) + 1]]
+    picked = []
+    for name, (paths, kind) in columns.items():
+        tried = [F.expr(f"try_cast(fields['{x}'] as {kind})") for x in ([paths] if isinstance(paths, str) else paths)]
+        picked.append(F.coalesce(*tried).alias(name))
+    return flat.where(F.col("level") == _level(nesting, table)).select(*_own(flat, nesting), *numbers, *picked)
+
+
+def other_fields(flat: DataFrame, nesting: Nesting, table: str, columns: dict[str, tuple[str | tuple[str, ...], str]]) -> DataFrame:
+    """Path and text of the fields of one level that none of ``columns`` names, a row each, with all parents' keys."""
+    numbers = [f"{x.table}_no" for x in nesting.levels[: _level(nesting, table) + 1]]
+    known = {x for paths, _ in columns.values() for x in ([paths] if isinstance(paths, str) else paths)}
+    rows = flat.where(F.col("level") == _level(nesting, table))
+    rows = rows.select(*_own(flat, nesting), *numbers, F.explode(F.map_entries("fields")).alias("__f"))
+    return rows.where(~F.col("__f.key").isin(*known)).select(*_own(flat, nesting), *numbers, F.col("__f.key").alias("path"), F.col("__f.value").alias("value"))
+
+
+def _level(nesting: Nesting, table: str) -> int:
+    return [x.table for x in nesting.levels].index(table)
+
+
+def _own(flat: DataFrame, nesting: Nesting) -> list[str]:
+    return [c for c in flat.columns if c not in {"level", "fields", *(f"{x.table}_no" for x in nesting.levels)}]
+
+
+def nested_tables(records: DataFrame, keys: list[str], column: str, nesting: Nesting, columns: dict[str, dict]) -> dict[str, DataFrame]:
+    """All tables of :func:`child_table` by name, each with its ``<table>_other`` of :func:`other_fields`, from one parse of
+    the texts, whose triples are kept in a checkpoint. ``columns`` has the columns of each table."""
+    flat = cut(flatten_records(records, keys, column, nesting))
+    found = {name: child_table(flat, nesting, name, c) for name, c in columns.items()}
+    return found | {f"{name}_other": other_fields(flat, nesting, name, c) for name, c in columns.items()}

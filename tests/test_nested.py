@@ -93,3 +93,19 @@ def test_inner_path_and_repeated_keys(spark):
     assert [r[1:3] for r in flatten('{"meta":{"items":[{}]},"data":{"n":1,"items":[{"a":1},{"b":{"c":[true]}}]}}', nest)] == [[(1,), ["a"]], [(2,), ["b.c.1"]]]
     df = spark.createDataFrame([('[{"a":1,"a":2}]',)], "t string")
     assert flatten_records(df, [], "t", Nesting((Repeated("o"),))).first().fields == {"a": "2"}
+
+
+def test_all_tables_come_from_one_parse(spark):
+    from granary.operators.nested import nested_tables
+    from granary.plans.nested import COLUMNS
+
+    text = '[{"object_id": 4, "box": {"x1": 1, "y1": 2.5}, "extra": {"deep": [7, null]}, "surface": {"status": "ok", "components": [{"area": 9, "bbox": [1, 2, 3, 4], "marks": {"kind": "spot", "z": NaN, "note": ""}}]}}, {"box": [5, 6, 7, 8]}]'
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "[", "z")], "result_id bigint, t string, level string")
+    got = nested_tables(df, ["result_id"], "t", OBJECTS, COLUMNS)
+    o = {r.object_no: r for r in got["object"].collect()}
+    assert (o[1].object_id, o[1].box_x1, o[1].box_y1, o[1].box_x2, o[1].surface_status) == (4, 1.0, 2.5, None, "ok") and o[2].box_y2 == 8.0
+    assert [(r.component_no, r.area, r.left, r.height) for r in got["component"].collect()] == [(1, 9, 1, 4)]
+    (m,) = got["mark"].collect()
+    assert m.kind == "spot" and math.isnan(m.z) and m.mark_no == 1
+    assert {(r.object_no, r.path, r.value) for r in got["object_other"].collect()} == {(1, "extra.deep.1", "7"), (1, "extra.deep.2", None)}
+    assert [(r.path, r.value) for r in got["mark_other"].collect()] == [("note", "")] and got["component_other"].count() == 0
