@@ -108,7 +108,7 @@ def near_codes(codes: DataFrame, radius: int = 7, parts: int | None = None, orde
     tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     widths = [b - a for a, b in zip(_edges(parts), _edges(parts)[1:])]
     masks = F.element_at(F.array(*[F.array(*[F.lit(x).cast("bigint") for x in _flips(w, min(most, w))]) for w in widths]), F.col("t") + 1)
-    probe = turn(asking).repartition(tasks, "code").select(F.explode(tables).alias("e"), F.col("code").alias("x"), F.col("p").alias("px")).select("e.t", "e.s", "x", "px")
+    probe = turn(asking).repartition(tasks, F.xxhash64("code")).select(F.explode(tables).alias("e"), F.col("code").alias("x"), F.col("p").alias("px")).select("e.t", "e.s", "x", "px")
     probe = probe.select("t", "s", "x", "px", F.explode(masks).alias("mask")).withColumn("key", F.col("s").bitwiseXOR(F.col("mask")))
     if own:
         probe = probe.where("key >= s")
