@@ -1,13 +1,13 @@
 import pytest
 
-from granary.llm.pii import Lexicon, Normal, find_spans, personal_information, redact
+from granary.llm.pii import Model, Normal, find_spans, learn, personal_information, redact
 
 LEX = [("Mirito", "given"), ("Pippin", "given"), ("Rose", "given"), ("Kremamuro", "family"), ("Winter", "family"), ("Larkeld", "family"), ("Gold", "family"), ("de Quinoa", "family"), ("Maskeld", "family"), ("", "given"), (None, "family")]
 
 
 @pytest.fixture(scope="module")
 def lexicon():
-    return Lexicon([x for x in LEX if x[0]])
+    return Model([*LEX, ("port selby", "town"), ("upper tarn", "town"), *((w, "common") for w in "the and was fruit please noon before sheet about labels is now".split())])
 
 
 CASES = [
@@ -35,7 +35,7 @@ CASES = [
     ("in Kelterstraße 76, 00998 Fenwick Hollow, yes", [("address", "Kelterstraße 76, 00998 Fenwick Hollow")]),
     ("P.O. Box 894, Upper Tarn. Early", [("address", "P.O. Box 894, Upper Tarn")]),
     ("Ask Mirito Kremamuro about the labels.", [("name", "Mirito Kremamuro")]),
-    ("Ask Xy Zzyzx about the labels.", [("name", "Xy Zzyzx")]),
+    ("Ask Xyl Zzyzx about the labels.", [("name", "Xyl Zzyzx")]),
     ("I met Kremamuro, Mirito at dock C.", [("name", "Kremamuro, Mirito")]),
     ("MRS MIRITO B. KREMAMURO HAS MOVED", [("name", "MIRITO B. KREMAMURO")]),
     ("Dr. Mirito van der Krem signed", [("name", "Mirito van der Krem")]),
@@ -104,5 +104,65 @@ def test_frames(spark):
     red = {r.doc_id: r.text for r in personal_information(docs, "doc_id", "text", lex, replace=True).collect()}
     assert red[1] == "[EMAIL] and [EMAIL]" and red[2] is None and red[3] == "" and red[None] == "T: [PHONE]"
     assert personal_information(docs.limit(0), "doc_id", "text", lex.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        personal_information(docs, "doc_id", "text", lex, most_names=2)
+
+
+#: Families, towns and wordings that no test table has: text, then every piece of it.
+ELSEWHERE = [
+    ("Please forward it to Anna Kowalczyk before noon.", [("name", "Anna Kowalczyk")]),
+    ("Our buyer Anna Kowalczyk confirmed.", [("name", "Anna Kowalczyk")]),
+    ("Yours truly,\nAnna Kowalczyk", [("name", "Anna Kowalczyk")]),
+    ("Sincerely yours,\nJohn Smith", [("name", "John Smith")]),
+    ("Viele Grüße\nJonas Brinkmann\n", [("name", "Jonas Brinkmann")]),
+    ("Un saludo,\nMaría José Echevarría", [("name", "María José Echevarría")]),
+    ("Mrs Ifeoma Nwosu has the keys.", [("name", "Ifeoma Nwosu")]),
+    ("Herr Dr. Klaus von der Heyde kommt.", [("name", "Klaus von der Heyde")]),
+    ("We thank the inspector Piotr K. Nowacki for this.", [("name", "Piotr K. Nowacki")]),
+    ("Yesterday I met Chidi Okonkwo.", [("name", "Chidi Okonkwo")]),
+    ("A note from Sofia Lindqvist, thanks", [("name", "Sofia Lindqvist")]),
+    ("Nous avons parlé avec Amélie Rousseau.", [("name", "Amélie Rousseau")]),
+    ("Hello Pat Obrien,\nthe trays are late", [("name", "Pat Obrien")]),
+    ("-- \nHana Suzuki | hana@kiku.example", [("name", "Hana Suzuki"), ("email", "hana@kiku.example")]),
+    ("Lars Holmberg\n12 Mill Lane, Ashcombe\n", [("name", "Lars Holmberg"), ("address", "12 Mill Lane, Ashcombe")]),
+    ("The driver: Tomasz Zielinski.", [("name", "Tomasz Zielinski")]),
+    ("Hauptstr. 5, 10115 Berlin", [("address", "Hauptstr. 5, 10115 Berlin")]),
+    ("Via Roma 12, 20121 Milano", [("address", "Via Roma 12, 20121 Milano")]),
+    ("Keizersgracht 123, 1015 Amsterdam", [("address", "Keizersgracht 123, 1015 Amsterdam")]),
+    ("write to 7 Elm Grove, New Haven.", [("address", "7 Elm Grove, New Haven")]),
+    ("at 44 rue de la Paix, 75002 Paris now", [("address", "44 rue de la Paix, 75002 Paris")]),
+    ("Calle Mayor 3, 28013 Madrid", [("address", "Calle Mayor 3, 28013 Madrid")]),
+    ("identity number 8001015009087", [("id_number", "8001015009087")]),
+    ("Her passport number is L898902C3 today", []),
+    ("Carte d'identité: 880692310285", [("id_number", "880692310285")]),
+    ("Bosch Kitchen and Royal Gala from Delta Foods for the Bank of Kent", []),
+    ("with the Excel Sheet and the Python Script", []),
+    ("Meet us at Central Station before noon. Ask Support about the labels.", []),
+    ("call +44 20 7946 0958 or (212) 555-0187", [("phone", "+44 20 7946 0958"), ("phone", "(212) 555-0187")]),
+    ("j.doe [at] example [dot] org or jdoe@example.org", [("email", "j.doe [at] example [dot] org"), ("email", "jdoe@example.org")]),
+]
+
+
+def test_other_families_towns_and_wordings(lexicon):
+    """Recall and precision on texts unlike the test tables, with a lexicon that has none of their names."""
+    hits = wrong = total = 0
+    for text, want in ELSEWHERE:
+        got = [(k, text[a:b]) for a, b, k in find_spans(text, lexicon)]
+        hits += len(set(got) & set(want))
+        wrong += len(set(got) - set(want))
+        total += len(want)
+        if got != want:
+            print(repr(text), got)
+    print(hits, wrong, total)
+    assert hits >= 0.9 * total and hits >= 0.9 * (hits + wrong)
+
+
+def test_names_and_towns_are_learned_from_the_corpus(spark):
+    texts = [f"The {w} tray is in place {i}." for i, w in enumerate(["red", "ripe", "dull", "small"] * 5)]
+    texts += ["today Ulvara Kremamuro came", "so Ulvara Larkeld left", "Mirito Hesperov was here", "then Mirito Hesperov again", "Hesperov Growers ship", "at 5 Mill Lane, Nether Wold.", "at 6 Mill Lane, Nether Wold."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "see ulvara hesperov at 9 mill lane, nether wold and the tray", None, ""])], "doc_id bigint, text string")
+    lex = spark.createDataFrame(LEX, "token string, kind string")
+    facts = {tuple(r) for r in learn(docs, "text", lex).collect()}
+    assert {("ulvara", "given"), ("hesperov", "family"), ("nether wold", "town"), ("tray", "common"), ("mirito", "given")} <= facts
+    assert not any(t in ("the", "tray", "place") and k != "common" for t, k in facts)
+    got = {tuple(r) for r in personal_information(docs, "doc_id", "text", lex).collect()}
+    assert {(27, "name", "ulvara hesperov"), (27, "address", "9 mill lane, nether wold"), (22, "name", "Mirito Hesperov")} <= got
+    assert got == {tuple(r) for r in personal_information(docs, "doc_id", "text", lex, most_bytes=0).collect()}
