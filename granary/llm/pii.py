@@ -173,7 +173,7 @@ _CLOSES = re.compile(r"\s*(?:[.,;)\r\n]|$)|,?\s+[A-Z]{1,2}\d")
 
 _DIGIT = re.compile(r"\d")
 #: Where an address can begin, in lower-cased text.
-_ADDRESS_START = re.compile(r"(?<![\w./#-])(?:\d{1,4}|flat|ap|unit|suite|calle|av|plaza|paseo|camino|c/|via|piazza|corso|rua|largo|am\s|an\s|im\s|auf\s|zu|p\.?\s?o|postfach|[^\W\d_]+(?:-[^\W\d_]+)*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|straat|laan|gracht)\s)")
+_ADDRESS_START = re.compile(r"(?<![\w./#-])(?:\d{1,4}(?:\s?(?:bis|ter|[a-z]))?,?\s+(?=[^\W\d_][^\d\n,]{1,60}[,\r\n])|flat|ap|unit|suite|calle|av|plaza|paseo|camino|c/|via|piazza|corso|rua|largo|am\s|an\s|im\s|auf\s|zu|p\.?\s?o|postfach|[^\W\d_]+(?:-[^\W\d_]+)*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|straat|laan|gracht)\s)")
 
 
 def _town(text: str, at: int, coded: bool, model: Model) -> int:
@@ -420,19 +420,18 @@ def _words(text: str) -> list[tuple[int, int, str]]:
 # --- what the corpus teaches -------------------------------------------------------------------------------------------
 
 
-def evidence(text: str, model: Model) -> Iterator[tuple[str, str]]:
-    """``(kind, word)`` once per text: ``small`` and ``any`` for words written small and at all, ``firm`` for words that a firm's
-    word follows; ``given``, ``family`` and ``town`` for words that stand where one does, beside a name of ``model``, after a
-    title, or at the end of an address, ``after`` for those after a family name and a comma, where other things stand too."""
+def evidence(text: str, model: Model) -> tuple[set[str], set[str], set[tuple[str, str]]]:
+    """Words of a text, once each: all, those written small, and ``(kind, word)``: ``firm`` for words that a firm's word
+    follows; ``given``, ``family`` and ``town`` for words that stand where one does, beside a name of ``model``, after a title,
+    or at the end of an address, ``after`` for those after a family name and a comma, where other things stand too."""
     if not text.isascii() and _ODD.search(text):
         text = text.translate(_ONE_TO_ONE)
     found = _TOKEN.findall(text)
-    low = {w.lower() for w in found}
-    yield from {("any", w) for w in low if len(w) > 2}
-    yield from {("small", w) for w in found if len(w) > 2 and w.islower()}
+    low = set(map(str.lower, found))
+    small = low.intersection(found)
     seen = set()
     if not low.isdisjoint(_FIRM):
-        yield from {("firm", a.lower()) for a, b in zip(found, found[1:]) if b.lower() in _FIRM and len(a) > 2}
+        seen |= {("firm", a.lower()) for a, b in zip(found, found[1:]) if b.lower() in _FIRM}
     if not low.isdisjoint(model.known):
         words = _words(text)
         for i, (a, b, w) in enumerate(words):
@@ -455,9 +454,9 @@ def evidence(text: str, model: Model) -> Iterator[tuple[str, str]]:
             if len(parts[0]) > 2:
                 seen.add(("given", parts[0].lower()))
             seen.add(("family", parts[-1].lower()))
-    small = text.lower()
-    if _DIGIT.search(text) and len(small) == len(text) and _may_hold_address(text, small):
-        for _, at, _ in _addresses(text, small, model):
+    plain = text.lower()
+    if _DIGIT.search(text) and len(plain) == len(text) and _may_hold_address(text, plain):
+        for _, at, _ in _addresses(text, plain, model):
             first = _TOWN_WORD.match(text, at)
             if first[0][0].isupper():
                 second = _TOWN_WORD.match(text, first.end() + 1) if text[first.end() : first.end() + 1] == " " else None
@@ -465,7 +464,7 @@ def evidence(text: str, model: Model) -> Iterator[tuple[str, str]]:
                     seen.add(("town", first[0].lower()))
                 elif second and second[0][0].isupper() and _CLOSES.match(text, second.end()):
                     seen.add(("town", f"{first[0]} {second[0]}".lower()))
-    yield from seen
+    return low, small, seen
 
 
 def learn(docs: DataFrame, text: str, lexicon: DataFrame, least: int = 2, share: float = 0.2, everyday: float = 0.0002) -> DataFrame:
@@ -483,13 +482,17 @@ def learn(docs: DataFrame, text: str, lexicon: DataFrame, least: int = 2, share:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(rows)
         for batch in batches:
-            counts: Counter = Counter()
+            every, small, facts = Counter(), Counter(), Counter()
             texts = [t for t in batch.column(0).to_pylist() if t]
             for t in texts:
-                counts.update(evidence(t, model))
-            counts["texts", ""] = len(texts)
-            kinds, words = zip(*counts)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(words), pa.array(counts.values(), pa.int64())], names=["kind", "word", "n"])
+                words, low, seen = evidence(t, model)
+                every.update(words)
+                small.update(low)
+                facts.update(seen)
+            kinds = ["any"] * len(every) + ["small"] * len(small) + [k for k, _ in facts] + ["texts"]
+            tokens = [*every, *small, *(w for _, w in facts), ""]
+            counts = [*every.values(), *small.values(), *facts.values(), len(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(tokens), pa.array(counts, pa.int64())], names=["kind", "word", "n"])
 
     counted = docs.select(text).mapInArrow(count, "kind string, word string, n bigint")
     wide = counted.groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("any", "small", "firm", "given", "after", "family", "town", "texts")])
@@ -543,11 +546,12 @@ def find_spans(text: str, model: Model) -> list[tuple[int, int, str]]:
         names += [m.span("name") for m in _SIGNED.finditer(t) if model.likely(m["name"])]
     if taken and "\n" in t:
         names += [s for s in _signatures(t, taken) if model.likely(t[s[0] : s[1]])]
-    found = _TOKEN.findall(low)
+    words = _words(t)
+    found = {w for _, _, w in words}
     if not model.known.isdisjoint(found) or not model.ends.isdisjoint(found) or any(f in low for f in model.phrases):
-        names += model.spans(t, _words(t))
+        names += model.spans(t, words)
     if not _ROLES.isdisjoint(found) or not _LEADS.isdisjoint(found):
-        names += model.cued(t, _words(t))
+        names += model.cued(t, words)
     for a, b in sorted(names, key=lambda s: (s[0] - s[1], s[0])):
         head = t[a:b].split()
         if head and head[-1].lower().strip(".,") not in _FIRM:
