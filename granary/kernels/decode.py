@@ -1,4 +1,4 @@
-"""Decoding of PNG and BMP bytes with numpy and zlib; EXIF orientation. Other formats are explicit errors."""
+"""Decoding of PNG, BMP and JPEG bytes with numpy and zlib; EXIF orientation. Other formats are explicit errors."""
 
 from __future__ import annotations
 
@@ -7,19 +7,23 @@ import zlib
 
 import numpy as np
 
+from granary.kernels.jpeg import decode_jpeg
+
 #: Fixed value: largest picture that is decoded, in pixels.
 PIXEL_CAP = 20_000_000
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
 def decode(content: bytes) -> tuple[np.ndarray, str, str]:
-    """RGB array, mode and format of a picture; ``ValueError`` names what is wrong."""
+    """RGB array as it is meant to be seen, mode and format of a picture; ``ValueError`` names what is wrong. A JPEG's EXIF
+    orientation is applied."""
     if content[:8] == b"\x89PNG\r\n\x1a\n":
         return (*_png(content), "PNG")
     if content[:2] == b"BM":
         return _bmp(content), "RGB", "BMP"
     if content[:3] == b"\xff\xd8\xff":
-        raise ValueError("JPEG needs the JVM image source")
+        rgb, mode, orientation = decode_jpeg(content, PIXEL_CAP)
+        return orient(rgb, orientation), mode, "JPEG"
     if content[:4] == b"RIFF" and content[8:12] == b"WEBP":
         raise ValueError("WebP is not supported")
     raise ValueError("not a picture")
