@@ -161,6 +161,17 @@ def label(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
     return out, len(numbers)
 
 
+def boxes(labels: np.ndarray, n: int) -> list[tuple[slice, slice]]:
+    """Rows and columns that enclose each of the labels 1 to ``n``."""
+    ys, xs = np.nonzero(labels)
+    at = labels[ys, xs] - 1
+    low, high = np.full((2, n), np.iinfo(np.int64).max), np.full((2, n), -1)
+    for axis, places in enumerate((ys, xs)):
+        np.minimum.at(low[axis], at, places)
+        np.maximum.at(high[axis], at, places)
+    return [tuple(slice(int(low[axis, i]), int(high[axis, i]) + 1) for axis in (0, 1)) for i in range(n)]
+
+
 def fill_holes(mask: np.ndarray, most: int | None = None) -> np.ndarray:
     """Background not joined (4 ways) to the edge becomes foreground; with ``most`` only holes of at most so many pixels."""
     lab, n = label(~mask, diagonal=False)

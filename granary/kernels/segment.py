@@ -186,14 +186,15 @@ def watershed(rgb: np.ndarray) -> tuple[np.ndarray, str]:
     return P.clean(P.resize(flood(small, markers) > 1, w, h, "nearest")), "ok"
 
 
-def hybrid_refined(rgb: np.ndarray) -> tuple[np.ndarray, str]:
+def hybrid_refined(rgb: np.ndarray) -> tuple[np.ndarray, str, float]:
+    """Mask, state, and the share of the working picture that colour alone would take."""
     h, w = rgb.shape[:2]
     ww, wh = P.working_size(w, h, REFINED["cap"])
     if min(ww, wh) < REFINED["least_side"]:
-        return np.zeros((h, w), bool), "too_small"
+        return np.zeros((h, w), bool), "too_small", 0.0
     small = P.resize(rgb, ww, wh) if (ww, wh) != (w, h) else rgb
     if (small == small[0, 0]).all():
-        return np.zeros((h, w), bool), "constant"
+        return np.zeros((h, w), bool), "constant", 0.0
     hsv = P.hsv_byte(small) / 255
     colour = P.opening((hsv[..., 1] >= REFINED["saturation"]) & (hsv[..., 2] >= REFINED["value"]), 5)
     least = P.least_area(wh, ww)
@@ -202,17 +203,20 @@ def hybrid_refined(rgb: np.ndarray) -> tuple[np.ndarray, str]:
     candidate = P.fill_holes(colour, most)
     core = P.erode(colour, 3)
     if not candidate.any() or core.sum() < REFINED["least_core"]:
-        return np.zeros((h, w), bool), "no_colour_seeds"
+        return np.zeros((h, w), bool), "no_colour_seeds", float(candidate.mean())
     support = P.distance(~candidate) <= max(3, round(REFINED["support"] * max(ww, wh)))
     support[0] = support[-1] = False
     support[:, 0] = support[:, -1] = False
     fg = graph_cut(small, ~support, core & support, candidate & support, GRABCUT["iterations"])
     fg = P.fill_holes(P.drop_small(P.closing(fg, 3), least), most) & support
-    return P.resize(fg, w, h, "nearest"), "ok"
+    return P.resize(fg, w, h, "nearest"), "ok", float(candidate.mean())
 
 
-def segment(rgb: np.ndarray, method: str) -> dict:
-    """``mask``, ``foreground_fraction``, ``mask_status`` and ``detail`` of one image under one method."""
+def segment(rgb: np.ndarray, method: str, known: dict[str, dict] | None = None) -> dict:
+    """``mask``, ``foreground_fraction``, ``mask_status`` and ``detail`` of one image under one method.
+
+    ``known`` has the results of other methods on the same image, so that a hybrid doesn't compute its parts again.
+    """
     h, w = rgb.shape[:2]
     detail: dict = {}
     if method == "baseline":
@@ -231,11 +235,13 @@ def segment(rgb: np.ndarray, method: str) -> dict:
     elif method == "watershed":
         mask, detail["state"] = watershed(rgb)
     elif method == "hybrid":
-        a, b = segment(rgb, "hsv")["mask"], segment(rgb, "grabcut")["mask"]
+        a, b = ((known or {}).get(m, {}).get("mask") for m in ("hsv", "grabcut"))
+        a, b = segment(rgb, "hsv")["mask"] if a is None else a, segment(rgb, "grabcut")["mask"] if b is None else b
         mask, either = a | b, int((a | b).sum())
         detail = {"hsv_fraction": float(a.mean()), "grabcut_fraction": float(b.mean()), "intersection": float((a & b).mean()), "disagreement": float((a ^ b).mean()), "jaccard": float((a & b).sum() / either) if either else 1.0}
     elif method == "hybrid_refined":
-        mask, detail["state"] = hybrid_refined(rgb)
+        mask, detail["state"], broad = hybrid_refined(rgb)
+        detail["refined_review_flag"] = "inspect_mask" if broad <= 0.85 and mask.any() else "broad_colour_candidates" if mask.any() else "no_foreground"
     else:
         raise ValueError(f"unknown method {method!r}")
     share = float(mask.mean())
@@ -271,16 +277,18 @@ def blemishes(rgb: np.ndarray, fg: np.ndarray) -> dict:
     h, w = fg.shape
     least = max(BLEMISH["min_pixels"], math.ceil(BLEMISH["min_share"] * n))
     keep, removed = np.zeros(count + 1, bool), {"tiny": 0, "large": 0, "stem": 0}
-    components = []
+    components, boxes = [], P.boxes(labels, count)
     for i in range(1, count + 1):
-        part = labels == i
-        area = int(part.sum())
+        box = boxes[i - 1]
+        part = labels[box] == i
         ys, xs = np.nonzero(part)
+        area = len(ys)
         edge = P.perimeter(max(P.outer_contours(part), key=len))
+        ys, xs = ys + box[0].start, xs + box[1].start
         compact = 4 * math.pi * area / edge**2 if edge else 0.0
         cx, cy = float(xs.mean()), float(ys.mean())
         central = 1 - min(math.hypot(cx - w / 2, cy - h / 2) / (min(w, h) / 2), 1)
-        depth = float(dark[part].mean())
+        depth = float(dark[box][part].mean())
         if area < least:
             removed["tiny"] += 1
         elif area / n > BLEMISH["max_share"]:

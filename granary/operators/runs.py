@@ -1,5 +1,5 @@
 """Run rules and pipelines: specs, validity, compatibility, reports, guarded batches, final evaluation
-(D14, P19, P20, P26, F15, J6, J10, S11, S12, L11, L12, L16)."""
+(D14, P19, P20, P26, F15, J6, J10, J11, S11, S12, B8, L5, L6, L10, L11, L12, L16, W11)."""
 
 from __future__ import annotations
 
@@ -9,13 +9,15 @@ import json
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from granary.kernels import segment as G
-from granary.operators.imaging import segment_images
+from granary.operators.imaging import segment_methods
 from granary.operators.metrics import metrics
-from granary.operators.splits import holdout_guard, manifest_difference, require_split
+from granary.operators.models import predict, train
+from granary.operators.splits import holdout_guard, manifest_difference, require_split, stratified_split
 from granary.schemas import METHODS, STAGES
+from granary.session import cut
 
 #: Display names of methods and classifiers.
 LABELS = {"baseline": "RGB baseline", "hsv": "HSV", "otsu": "Otsu", "kmeans": "K-means", "grabcut": "GrabCut", "watershed": "Watershed", "hybrid": "Hybrid A", "hybrid_refined": "Hybrid B", "random_forest": "Random Forest", "shared_cnn": "Shared CNN"}
@@ -100,6 +102,9 @@ def read_report(folder: str) -> dict:
     return values
 
 
+_RECORDED = ("classes", "feature_id", "method", "spec_sha256")
+
+
 def load_model(folder: str, metadata: dict, trusted: bool = False):
     """A saved pipeline, only if trusted, with the recorded class order and, where given, feature id; else an error."""
     from pyspark.ml import PipelineModel
@@ -107,41 +112,121 @@ def load_model(folder: str, metadata: dict, trusted: bool = False):
     if not trusted:
         raise PermissionError("only trusted models are loaded")
     saved = json.loads((Path(folder) / "model.json").read_text(encoding="utf-8"))
-    for key in ("classes", "feature_id", "method"):
+    for key in _RECORDED:
         if saved.get(key) != metadata.get(key):
             raise ValueError(f"{key} of model and run differ")
+    if saved.get("spark") != metadata.get("spark", saved.get("spark")):
+        raise ValueError("the model was saved by another version")
     return PipelineModel.load(str(Path(folder) / "model"))
 
 
 def save_model(model, folder: str, metadata: dict) -> None:
     """K8: the pipeline, then the record that :func:`load_model` checks."""
     model.write().save(str(Path(folder) / "model"))
-    (Path(folder) / "model.json").write_text(json.dumps({k: metadata.get(k) for k in ("classes", "feature_id", "method")}), encoding="utf-8")
+    (Path(folder) / "model.json").write_text(json.dumps({k: metadata.get(k) for k in (*_RECORDED, "spark")}), encoding="utf-8")
+
+
+#: Names the features that models of this engine are trained on.
+FEATURE_ID = "rgb32-masked-v1"
+
+
+def bundle_metadata(method: str, **more) -> dict:
+    """What a saved model must agree with to be used: classes, features, method and the digest of its parameters."""
+    return {"classes": list(STAGES), "feature_id": FEATURE_ID, "method": method, "spec_sha256": spec_digest(method_spec(method)), **more}
+
 
+def check_bundle(metadata: dict, method: str) -> None:
+    """An error names the first thing in which a model's record differs from ``method`` as it is now."""
+    for key, value in bundle_metadata(method).items():
+        if metadata.get(key) != value:
+            raise ValueError(f"the model has another {key}")
 
-def run_batch(inputs: DataFrame, reserved: DataFrame, methods: list[str], classify=None) -> DataFrame:
+
+def infer_images(rows: DataFrame, bundles: dict, keep: list[str] = ["path"], mode: str = "permissive") -> DataFrame:
+    """Every image under every method of ``bundles``, ``{method: (model, metadata)}``: the mask's numbers and times,
+    ``predicted_stage`` and scores; failed images are error rows without a prediction.
+
+    Each bundle is checked first. An image is decoded once for all methods; each model scores the rows of its method, and
+    those that share a model are scored together. ``prediction_ms`` is null, as scores aren't made image by image.
+    """
+    for method, (_, metadata) in bundles.items():
+        check_bundle(metadata, method)
+    seen = segment_methods(rows, tuple(bundles), keep, mode, features=True)
+    parts = [seen.where("features is null").drop("features").withColumn("predicted_stage", F.lit(None).cast("string"))]
+    models: dict[int, tuple] = {}
+    for method, (model, _) in bundles.items():
+        models.setdefault(id(model), (model, []))[1].append(method)
+    if len(models) > 1:
+        seen = cut(seen)
+        parts = [seen.where("features is null").drop("features").withColumn("predicted_stage", F.lit(None).cast("string"))]
+    for model, methods in models.values():
+        parts.append(predict(model, seen.where(F.col("features").isNotNull() & F.col("method").isin(*methods)), "features").drop("features"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("prediction_ms", F.lit(None).cast("double"))
+
+
+def predict_images(rows: DataFrame, model, metadata: dict, method: str, keep: list[str] = ["path"]) -> DataFrame:
+    """Images under one saved model, which must be one of this method, feature and parameters; a bad image fails the job."""
+    return infer_images(rows, {method: (model, metadata)}, keep, "failfast")
+
+
+def train_baseline(rows: DataFrame, method: str, share: float = 0.2, seed: int = 42, **training) -> dict:
+    """From labelled images to a checked model: ``{model, metadata, manifest, predictions, metrics}``.
+
+    ``rows`` has ``path, content, source_split, fruit, stage, sha256``. Training images are split by fruit and stage (L1), test
+    ones only listed; features are made once, a bad image fails the job; the model learns from ``train`` and is measured on
+    ``validation``. ``training`` goes to :func:`models.train`.
+    """
+    split = stratified_split(rows, ["fruit", "stage"], "path", share, seed, eligible=F.col("source_split") == "train")
+    manifest = cut(split.select("path", "source_split", "split", "fruit", "stage", "sha256"))
+    usable = require_split(split.where("split <> 'test'"), {"split": ("train", "validation"), "source_split": ("train",)})
+    made = cut(segment_methods(usable, (method,), ["path", "split", "fruit", "stage"], "failfast", features=True).select("path", "split", "fruit", "stage", "features"))
+    model = train(made.where("split = 'train'"), "features", "stage", seed=seed, **training)
+    found = cut(predict(model, made.where("split = 'validation'"), "features").drop("features").withColumn("method", F.lit(method)))
+    counts = {r["split"]: r["n"] for r in manifest.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    record = bundle_metadata(method, counts=counts, seed=seed, model_type=training.get("kind", "random_forest"), status="completed")
+    return {"model": model, "metadata": record, "manifest": manifest, "predictions": found, "metrics": metrics(found, "stage", "predicted_stage", ("method",), "fruit")}
+
+
+def run_batch(inputs: DataFrame, reserved: DataFrame, methods: list[str], classify=None, bundles: dict | None = None) -> DataFrame:
     """Every allowed input under every method; blocked and unreadable inputs are error rows, the batch goes on.
 
     ``inputs`` has ``path, content``; content whose SHA-256 is in ``reserved.sha256`` is rejected before it is decoded, even
-    under another name. ``classify`` maps the mask rows (with content) to prediction rows.
+    under another name. With ``bundles`` (as for :func:`infer_images`) rows are classified; or ``classify`` maps the mask rows,
+    with their ``content``, to prediction rows. ``position`` and ``total`` number the rows of all methods by path (W11).
     """
     hashed = inputs.select("path", "content", F.sha2("content", 256).alias("sha256"))
-    guarded = holdout_guard(hashed, reserved, "sha256")
-    blocked = guarded.where("blocked").select("path", "sha256")
-    parts = []
-    for m in methods:
-        rows = segment_images(guarded.where("not blocked"), m, ["path", "sha256"])
-        rows = rows.withColumn("method", F.lit(m)).drop("mask")
-        parts.append(classify(rows) if classify else rows)
-        parts.append(blocked.withColumn("error", F.lit("reserved for testing")).withColumn("method", F.lit(m)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("status", F.when(F.col("error") == "", "ok").otherwise("error"))
+    guarded = cut(holdout_guard(hashed, reserved, "sha256"))
+    allowed, keep = guarded.where("not blocked"), ["path", "sha256"]
+    if bundles is not None:
+        rows = infer_images(allowed, {m: bundles[m] for m in methods}, keep)
+    elif classify is not None:
+        rows = classify(segment_methods(allowed, tuple(methods), [*keep, "content"])).drop("content")
+    else:
+        rows = segment_methods(allowed, tuple(methods), keep)
+    blocked = guarded.where("blocked").select(*keep, F.lit("reserved for testing").alias("error"), F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
+    out = rows.unionByName(blocked, allowMissingColumns=True).withColumn("status", F.when(F.col("error") == "", "ok").otherwise("error"))
+    return running_positions(out, ["path", "method"])
+
+
+def running_positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``position`` of every row from 1 in the given order, and ``total``, without sorting all rows in one task.
+
+    Rows are sorted over tasks by range and counted per task; a task's rows are numbered on from the counts before it.
+    """
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    task = F.shiftright("__at", 33)
+    counts = placed.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    # one row per task
+    before = counts.select("__task", (F.sum("__n").over(Window.orderBy("__task")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("total"))
+    numbered = placed.withColumn("__task", task).join(F.broadcast(before), "__task")
+    return numbered.withColumn("position", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__task", "__at", "__before")
 
 
 def evaluate_final(spark: SparkSession, current: DataFrame, manifest: DataFrame, predict, methods: tuple[str, ...] = METHODS, frozen: bool = False, trusted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Predictions and metrics of all methods over the test rows, once the caller confirms that all is frozen and trusted.
 
-    ``current`` and ``manifest`` are ``(path, split, source_split, fruit, stage, sha256)``; they must be equal before and after.
-    ``predict(rows, method)`` adds ``predicted_stage``.
+    ``current`` and ``manifest`` are ``(path, split, source_split, fruit, stage, sha256)``; they must be equal before the
+    predictions, and again once these have been made and stored. ``predict(rows, method)`` adds ``predicted_stage``.
     """
     if not (frozen and trusted):
         raise PermissionError("confirm that the model is frozen and trusted")
@@ -153,12 +238,49 @@ def evaluate_final(spark: SparkSession, current: DataFrame, manifest: DataFrame,
     verify()
     test = require_split(manifest.where("split = 'test'"), {"split": ("test",), "source_split": ("test",)})
     rows = reduce(DataFrame.unionByName, [predict(test, m).withColumn("method", F.lit(m)) for m in methods])
-    rows = rows.withColumn("correct", F.col("predicted_stage") == F.col("stage"))
-    scores = metrics(rows, "stage", "predicted_stage", ("method",), "fruit")
+    rows = cut(rows.withColumn("correct", F.col("predicted_stage") == F.col("stage")))
+    scores = cut(metrics(rows, "stage", "predicted_stage", ("method",), "fruit"))
     verify()
     return rows, scores
 
 
+def unchanged_previews(previews: DataFrame, sources: DataFrame) -> DataFrame:
+    """``previews`` whose source file still has the content they were made of: equal ``path`` and ``sha256``."""
+    return previews.join(sources.where("sha256 is not null").select("path", "sha256").distinct(), ["path", "sha256"], "left_semi")
+
+
+def detection_masks(detections: DataFrame, key: str, width: str = "width", height: str = "height") -> DataFrame:
+    """``(key, object_no, mask)`` of supported detections: packed bits, row by row, of the polygon ``x, y`` pairs of
+    ``polygon`` where it has three or more points, else of the box. ``detections`` comes from :func:`object_rows` with the
+    image's size; corners are kept inside it."""
+    import numpy as np
+    import pandas as pd
+
+    has = "polygon" in detections.columns
+    source = detections.select(key, "object_no", "x1", "y1", "x2", "y2", F.col("polygon" if has else "x1").alias("polygon"), F.col(width).alias("__w"), F.col(height).alias("__h"))
+
+    def run(batches):
+        for pdf in batches:
+            masks = []
+            for r in pdf.itertuples(index=False):
+                w, h = int(r[-2]), int(r[-1])
+                y, x = np.mgrid[:h, :w]
+                points = r.polygon if has and r.polygon is not None and len(r.polygon) >= 3 else None
+                if points is None:
+                    mask = (x >= int(np.floor(r.x1))) & (x < int(np.ceil(r.x2))) & (y >= int(np.floor(r.y1))) & (y < int(np.ceil(r.y2)))
+                else:
+                    mask = np.zeros((h, w), bool)
+                    p = [(float(q[0]), float(q[1])) for q in points]
+                    for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1]):
+                        if ay != by:
+                            mask ^= ((ay > y + 0.5) != (by > y + 0.5)) & (x + 0.5 < (bx - ax) * (y + 0.5 - ay) / (by - ay) + ax)
+                masks.append(np.packbits(mask).tobytes())
+            yield pd.DataFrame({key: pdf[key], "object_no": pdf["object_no"], "mask": masks})
+
+    kind = source.schema[0].dataType.simpleString()
+    return source.mapInPandas(run, f"`{key}` {kind}, object_no int, mask binary")
+
+
 def object_rows(detections: DataFrame, key: str, confidence: float = 0.20, least_side: int = 4) -> DataFrame:
     """Supported detections ``(key, object_no, fruit, confidence, box)`` numbered in detector order.
 

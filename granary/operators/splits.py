@@ -24,12 +24,13 @@ def stratified_split(rows: DataFrame, stratum: list[str], key: str, share: float
     for i, s in enumerate(stratum):
         cond = cond & F.col(s).eqNullSafe(F.col(f"__s{i}"))
     joined = keyed.join(sized, cond, "left")
-    border = F.col("__ok") & (F.col("__before") < F.col("__q")) & (F.col("__before") + F.col("__c") > F.col("__q"))
-    rank = F.row_number().over(W.partitionBy(*stratum, "__b", border).orderBy("__h", key))
+    border = F.coalesce(F.col("__ok") & (F.col("__before") < F.col("__q")) & (F.col("__before") + F.col("__c") > F.col("__q")), F.lit(False))
     inside = F.col("__before") + F.col("__c") <= F.col("__q")
-    out = joined.withColumn("__border", border).withColumn("__r", F.when(F.col("__border"), rank))
-    split = F.when(~F.col("__ok"), "test").when(inside | (F.col("__border") & (F.col("__before") + F.col("__r") <= F.col("__q"))), "validation").otherwise("train")
-    return out.withColumn("split", split).select(*[c for c in rows.columns if c != "split"], "split")
+    plain = joined.where(~border).withColumn("split", F.when(~F.col("__ok"), "test").when(inside, "validation").otherwise("train"))
+    ranked = joined.where(border).withColumn("__r", F.row_number().over(W.partitionBy(*stratum, "__b").orderBy("__h", key)))
+    close = ranked.withColumn("split", F.when(F.col("__before") + F.col("__r") <= F.col("__q"), "validation").otherwise("train"))
+    names = [*[c for c in rows.columns if c != "split"], "split"]
+    return plain.select(*names).unionByName(close.select(*names))
 
 
 def holdout_guard(inputs: DataFrame, reserved: DataFrame, key: str) -> DataFrame:
@@ -55,8 +56,10 @@ def changed_content(current: DataFrame, manifest: DataFrame, key: str, digest: s
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free fingerprint of a table: row count and the sum of 64-bit row hashes. Equal tables give equal rows."""
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("hash_sum"))
+    """Order-free fingerprint of a table: row count and the sum of 60-bit row hashes. Equal tables give equal rows."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(number), F.lit(0).cast("decimal(38,0)")).cast("string").alias("hash_sum"))
 
 
 def require_split(rows: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
