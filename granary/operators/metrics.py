@@ -75,6 +75,39 @@ def invalid_metrics(table: DataFrame, values: tuple[str, ...] = SCORES) -> DataF
     return table.where(F.col("n_images").isNull() | (F.col("n_images") <= 0) | bad)
 
 
+def invalid_matrices(table: DataFrame, labels: tuple[str, ...] = STAGES) -> DataFrame:
+    """F17 with the matrix: ``table`` with ``problem``, null for sound rows: the first of label order, shape, negative entries,
+    image count, values outside 0..1, and an accuracy that the diagonal doesn't give.
+
+    Reads ``matrix_labels array<string>, matrix array<array<bigint>>, n_images`` and the metric columns that are there.
+    """
+    m, k = F.col("matrix"), len(labels)
+    entries = F.flatten(m)
+    total = F.aggregate(entries, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    right = reduce(lambda a, b: a + b, [m[i][i] for i in range(k)])
+    values = [v for v in SCORES if v in table.columns]
+    bad = reduce(lambda a, b: a | b, [F.col(v).isNull() | F.isnan(v) | (F.col(v) < 0) | (F.col(v) > 1) for v in values])
+    shape = (F.size(m) == k) & ~F.exists(m, lambda line: line.isNull() | (F.size(line) != k))
+    problem = (
+        F.when(~F.col("matrix_labels").eqNullSafe(F.array(*[F.lit(x) for x in labels])), "other label order")
+        .when(~F.coalesce(shape, F.lit(False)), "other shape")
+        .when(F.exists(entries, lambda x: x.isNull() | (x < 0)), "negative entry")
+        .when(F.col("n_images").isNull() | (F.col("n_images") <= 0) | (total != F.col("n_images")), "other image count")
+        .when(bad, "value outside 0..1")
+    )
+    if "accuracy" in values:
+        far = F.abs(right / total - F.col("accuracy")) > 1e-8 + 1e-5 * F.abs("accuracy")
+        problem = problem.when(far, "accuracy differs from diagonal")
+    return table.withColumn("problem", problem)
+
+
+def scope_options(table: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(position, scope)``: ``overall``, then the fruits that any of ``runs`` has, in order. Scopes are few."""
+    seen = table.join(runs.select("run").distinct(), "run", "left_semi").select("scope").distinct()
+    place = F.row_number().over(W.orderBy(F.col("scope") != "overall", "scope"))
+    return seen.where("scope is not null").select(place.alias("position"), "scope")
+
+
 def latest_runs(runs: DataFrame, by: tuple[str, ...], order: str) -> DataFrame:
     """The newest run per group, by its name from high to low."""
     return runs.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))).where("__r = 1").drop("__r")

@@ -6,24 +6,28 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from granary.operators.quantile import exact_quantiles
+from granary.session import bounded, cut
+
 
 def percentile_stretch(rows: DataFrame, by: str, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """``stretched``: values mapped so that the low percentile is 0 and the high one 255, cut to 0..255 and truncated.
 
     A group whose percentiles coincide keeps its values, cut and truncated alike; null values stay null.
     """
-    p = rows.groupBy(by).agg(F.percentile(value, low).alias("lo"), F.percentile(value, high).alias("hi"))
-    j = rows.join(p, by)
+    q = exact_quantiles(rows, [by], [low, high], value)
+    p = q.groupBy(by).agg(F.max(F.when(F.col("q") == low, F.col("quantile"))).alias("lo"), F.max(F.when(F.col("q") == high, F.col("quantile"))).alias("hi"))
+    j = rows.join(bounded(cut(p)), by)
     raw = F.when(F.col("hi") > F.col("lo"), (F.col(value) - F.col("lo")) * 255.0 / (F.col("hi") - F.col("lo"))).otherwise(F.col(value))
     return j.withColumn("stretched", F.when(F.col(value).isNotNull(), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), raw))).cast("int")))
 
 
 def robust_z(rows: DataFrame, by: str, value: str, floor: float = 2.0) -> DataFrame:
     """``z``: distance from the group's median in units of 1.4826 times the median absolute deviation, at least ``floor``."""
-    med = rows.groupBy(by).agg(F.median(value).alias("__m"))
-    j = rows.join(med, by)
-    mad = j.groupBy(by).agg(F.median(F.abs(F.col(value) - F.col("__m"))).alias("__d"))
-    return j.join(mad, by).withColumn("z", (F.col(value) - F.col("__m")) / F.greatest(F.lit(1.4826) * F.col("__d"), F.lit(floor))).drop("__m", "__d")
+    med = cut(exact_quantiles(rows, [by], [0.5], value).select(by, F.col("quantile").alias("__m")))
+    j = rows.join(bounded(med), by)
+    mad = exact_quantiles(j.withColumn("__a", F.abs(F.col(value) - F.col("__m"))), [by], [0.5], "__a").select(by, F.col("quantile").alias("__d"))
+    return j.join(bounded(cut(mad)), by).withColumn("z", (F.col(value) - F.col("__m")) / F.greatest(F.lit(1.4826) * F.col("__d"), F.lit(floor))).drop("__m", "__d")
 
 
 def otsu_thresholds(bins: DataFrame, by: str, bin_: str, count: str = "n", levels: int = 256) -> DataFrame:
@@ -69,11 +73,15 @@ def measures(area, pixels_per_unit=None):
 def quality_report(rows: DataFrame, fraction: str, grade: str, by: str) -> DataFrame:
     """Per group and overall (``all``): images, graded, ungraded, mean and median fraction. Groups' means use values
     rounded to six places, the overall ones the values as they are."""
-    graded = F.col(grade) != "Not graded"
-    r6 = F.round(fraction, 6)
-    per = rows.groupBy(F.col(by).alias("scope")).agg(F.count(F.lit(1)).alias("images"), F.count_if(graded).alias("graded"), F.avg(F.when(graded, r6)).alias("mean_fraction"), F.median(F.when(graded, r6)).alias("median_fraction"))
-    al = rows.agg(F.count(F.lit(1)).alias("images"), F.count_if(graded).alias("graded"), F.avg(F.when(graded, F.col(fraction))).alias("mean_fraction"), F.median(F.when(graded, F.col(fraction))).alias("median_fraction")).withColumn("scope", F.lit("all"))
-    return per.unionByName(al).withColumn("ungraded", F.col("images") - F.col("graded"))
+    graded, exact = F.col(grade) != "Not graded", F.col(fraction).cast("double")
+    scoped = rows.select(F.explode(F.array(
+        F.struct(F.col(by).cast("string").alias("scope"), graded.alias("graded"), F.round(exact, 6).alias("f")),
+        F.struct(F.lit("all").alias("scope"), graded.alias("graded"), exact.alias("f")),
+    )).alias("r")).select("r.*")
+    counts = scoped.groupBy("scope").agg(F.count(F.lit(1)).alias("images"), F.count_if("graded").alias("graded"), F.avg(F.when(F.col("graded"), F.col("f"))).alias("mean_fraction"))
+    middle = exact_quantiles(scoped.where("graded"), ["scope"], [0.5], "f").select(F.col("scope").alias("__scope"), F.col("quantile").alias("median_fraction"))
+    joined = counts.join(bounded(cut(middle)), F.col("scope").eqNullSafe(F.col("__scope")), "left").drop("__scope")
+    return joined.select("scope", "images", "graded", "mean_fraction", "median_fraction", (F.col("images") - F.col("graded")).alias("ungraded"))
 
 
 def mask_agreement(rows: DataFrame, by: list[str], a, b) -> DataFrame:
@@ -81,3 +89,16 @@ def mask_agreement(rows: DataFrame, by: list[str], a, b) -> DataFrame:
     f = lambda c: F.avg(c.cast("double"))
     both, either = F.count_if(a & b), F.count_if(a | b)
     return rows.groupBy(*by).agg(f(a).alias("fraction_a"), f(b).alias("fraction_b"), f(a & b).alias("intersection"), f(a != b).alias("disagreement"), F.when(either == 0, 1.0).otherwise(both / either).alias("jaccard"))
+
+
+def numbered(rows: DataFrame, by: str, order: list, name: str = "object_no") -> DataFrame:
+    """``rows`` numbered from 1 within each ``by`` in the given order; an image's objects are few."""
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(*order)))
+
+
+def cluster_counts(pixels: DataFrame, by: str, cluster: str, border) -> DataFrame:
+    """``(by, cluster, border, everywhere, background)``: pixels of each cluster on the border and in all, and whether
+    it is the background: most border pixels, then most pixels, then the lowest number."""
+    n = pixels.groupBy(by, cluster).agg(F.count_if(border).alias("border"), F.count(F.lit(1)).alias("everywhere"))
+    best = F.row_number().over(W.partitionBy(by).orderBy(F.desc("border"), F.desc("everywhere"), cluster))
+    return n.withColumn("background", best == 1)

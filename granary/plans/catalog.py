@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("audit", "nested", "evaluation", "manifests", "measures", "pictures")
+_PARTS = ("audit", "nested", "evaluation", "manifests", "measures", "pictures", "rules")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -101,6 +101,7 @@ SQL = {
     "manifest_complete": f"WITH {MANIFEST} SELECT count(*) AS n_test, count(*) FILTER (sha256 IS NULL) AS without_hash, count(*) > 0 AND count(*) FILTER (sha256 IS NULL) = 0 AS complete FROM manifest WHERE split = 'test'",
     "incomplete_strata": f"WITH {MANIFEST} SELECT part, list_sort([x for x in ['unripe', 'ripe', 'overripe', 'rotten'] if NOT list_contains(s, x)]) AS missing FROM (SELECT source_split || '/' || fruit AS part, list(DISTINCT stage) AS s FROM manifest WHERE fruit IS NOT NULL GROUP BY 1) WHERE len([x for x in ['unripe', 'ripe', 'overripe', 'rotten'] if NOT list_contains(s, x)]) > 0",
     "guarded_training_view": f"WITH {MANIFEST} SELECT split, count(*) AS n FROM manifest WHERE split IN ('train', 'validation') AND source_split = 'train' GROUP BY 1",
+    "dataset_fingerprint": f"WITH {MANIFEST} SELECT count(*) AS n_rows, coalesce(sum(('0x' || md5(concat_ws('|', coalesce(image_id::VARCHAR, '~'), coalesce(path, '~'), coalesce(split, '~'), coalesce(sha256, '~')))[1:15])::UBIGINT), 0)::VARCHAR AS hash_sum FROM manifest",
     "record_digests": f"""WITH {MANIFEST} SELECT image_id, sha256('{{"fruit":"' || fruit || '","path":"' || path || '","split":"' || split || '"}}') AS row_sha256 FROM manifest WHERE split IS NOT NULL AND fruit IS NOT NULL AND sha256 IS NOT NULL""",
     "test_union": f"WITH {IMAGES}, {MANIFEST} SELECT sha256 FROM images WHERE split = 'test' AND sha256 IS NOT NULL UNION SELECT sha256 FROM manifest WHERE split = 'test' AND sha256 IS NOT NULL",
 }

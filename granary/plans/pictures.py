@@ -7,7 +7,6 @@ operator runs on real files over the whole table. SQL can't express these kernel
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,9 +42,8 @@ def pictures(spark: SparkSession, sf: str) -> DataFrame:
 
 def picture_masks(spark, sf):
     """Every picture under each of the eight methods."""
-    p = pictures(spark, sf)
-    parts = [imaging.segment_images(p, m, ["vec_id"]).select("vec_id", F.lit(m).alias("method"), F.round("foreground_fraction", 6).alias("foreground_fraction"), "mask_status", "foreground_pixels", "error") for m in METHODS]
-    return reduce(DataFrame.unionByName, parts)
+    found = imaging.segment_methods(pictures(spark, sf), METHODS, ["vec_id"])
+    return found.select("vec_id", "method", F.round("foreground_fraction", 6).alias("foreground_fraction"), "mask_status", "foreground_pixels", "error")
 
 
 def picture_surfaces(spark, sf):
