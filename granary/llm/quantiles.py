@@ -13,39 +13,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from granary.session import bounded, cut
+from granary.operators.quantile import BITS, edge, finite, leaf_of, settle
+from granary.session import cut
 
-BITS = 22
-#: Leaves per unit of the natural logarithm: leaves are 0.07 percent wide, and all doubles of either sign fit.
-STEPS = 1440
-#: Below the logarithm of the smallest positive double.
-_FLOOR = -744.5
-_ZERO = 1 << (BITS - 1)
 COMPRESSION = 20_000
-#: Parts of a bracket that one more pass counts before values are ordered.
-_PARTS = 1 << 16
-
-
-def leaf_of(value: Column) -> Column:
-    """Leaf of a finite value, monotone in the value; zero has a leaf of its own."""
-    size = F.floor((F.ln(F.abs(value)) - _FLOOR) * STEPS).cast("int") + 1
-    return F.when(value == 0, _ZERO).when(value > 0, size + _ZERO).otherwise(F.lit(_ZERO) - size)
-
-
-def _edge(leaf: Column, upper: bool) -> Column:
-    """A bound of the values of a leaf, moved outwards by far more than the logarithm's rounding."""
-    size = F.abs(leaf - _ZERO)
-    out = F.exp((size - F.when((leaf < _ZERO) == F.lit(upper), 1).otherwise(0)) / STEPS + _FLOOR)
-    far = F.lit(1 + 1e-9)
-    wide = F.when((leaf > _ZERO) == F.lit(upper), out * far).otherwise(out / far)
-    return F.when(leaf == _ZERO, 0.0).when(leaf > _ZERO, F.least(wide, F.lit(1.7976931348623157e308))).otherwise(F.greatest(-wide, F.lit(-1.7976931348623157e308)))
-
-
-def valid(value: Column) -> Column:
-    """Finite (null gives false)."""
-    return F.coalesce((value > F.lit(float("-inf"))) & (value < F.lit(float("inf"))), F.lit(False))
 
 
 def compress(nodes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +71,7 @@ def digests(values: DataFrame, keys: list[str], value: str = "value", k: int = C
     Leaf counts are aggregated before the shuffle, so a hot group sends at most one row per leaf and task. Groups without a
     valid value have no digest; null keys are a group.
     """
-    leaves = values.where(valid(F.col(value))).groupBy(*keys, (leaf_of(F.col(value)).cast("bigint") + (1 << BITS)).alias("node")).agg(F.count(F.lit(1)).alias("count"))
+    leaves = values.where(finite(F.col(value))).groupBy(*keys, (leaf_of(F.col(value)).cast("bigint") + (1 << BITS)).alias("node")).agg(F.count(F.lit(1)).alias("count"))
     return _compressed(leaves, keys, k)
 
 
@@ -141,38 +114,12 @@ def percentiles(digest: DataFrame, keys: list[str], quantiles: list[float]) -> D
     same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(keys, own)])
     met = _ranges(digest, keys).join(b, same & (F.col("lo") <= F.col("leaf_hi")) & (F.col("hi") >= F.col("leaf_lo")))
     found = met.groupBy(*keys, "q", "n", "leaf_lo", "leaf_hi").agg(F.sum("count").alias("rank_error"))
-    bounds = found.withColumn("lower", _edge(F.col("leaf_lo"), False)).withColumn("upper", _edge(F.col("leaf_hi"), True))
+    bounds = found.withColumn("lower", edge(F.col("leaf_lo"), False)).withColumn("upper", edge(F.col("leaf_hi"), True))
     return bounds.select(*keys, "q", "n", (F.col("lower") / 2 + F.col("upper") / 2).alias("value"), "lower", "upper", "rank_error")
 
 
 def exact_quantile(values: DataFrame, keys: list[str], q: float, value: str = "value", digest: DataFrame | None = None, k: int = COMPRESSION) -> DataFrame:
-    """``(keys, quantile)`` exactly, interpolated between neighbours: the digest brackets it, two more passes settle it.
-
-    The bracket is cut into 65,536 parts of equal width, whose counts tell the parts that hold the two ranks; only the
-    values of these parts are counted by value and ordered, so that no task orders more than a sliver of a group unless its
-    values lie denser than that, and repeated values cost one row.
-    """
-    own = [f"__key{i}" for i in range(len(keys))]
+    """``(keys, n, quantile)`` exactly, interpolated between neighbours: the digest brackets it, two more passes settle it, in
+    which no task orders more than a sliver of a group."""
     found = brackets(digest if digest is not None else digests(values, keys, value, k), keys, [q])
-    found = found.select(*[F.col(x).alias(y) for x, y in zip(keys, own)], "n", "q", "rank_lo", "rank_hi", "leaf_lo", "leaf_hi", _edge(F.col("leaf_lo"), False).alias("lower"), _edge(F.col("leaf_hi"), True).alias("upper"))
-    found = cut(found)
-    part = ", ".join(f"`{x}`" for x in keys)
-    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(keys, own)])
-    leaf, ranks = leaf_of(F.col("__value")), ["n", "q", "rank_lo", "rank_hi"]
-    near = values.where(valid(F.col(value))).select(*keys, F.col(value).cast("double").alias("__value")).join(bounded(found), same).where(leaf <= F.col("leaf_hi"))
-    place = F.floor((F.col("__value") / 2 - F.col("lower") / 2) / (F.col("upper") / 2 - F.col("lower") / 2) * _PARTS).cast("int")
-    inside = F.greatest(F.lit(0), F.least(F.coalesce(place, F.lit(0)), F.lit(_PARTS - 1)))
-    near = near.select(*keys, *ranks, "__value", F.when(leaf >= F.col("leaf_lo"), inside).otherwise(-1).alias("__part"))
-    counts = near.groupBy(*keys, *ranks, "__part").agg(F.count(F.lit(1)).alias("c"))
-    cum = counts.withColumn("upto", F.expr(f"sum(c) over (partition by {part} order by __part)"))
-    first = lambda c, r: F.min(F.when((F.col("__part") >= 0) & (F.col("upto") > F.col(r)), c))
-    parts = cum.groupBy(*keys, *ranks).agg(
-        first(F.col("__part"), "rank_lo").alias("part_a"), first(F.col("__part"), "rank_hi").alias("part_b"), first(F.col("upto") - F.col("c"), "rank_lo").alias("before")
-    )
-    parts = cut(parts.select(*[F.col(x).alias(y) for x, y in zip(keys, own)], "part_a", "part_b", "before"))
-    few = near.join(bounded(parts), same).where((F.col("__part") == F.col("part_a")) | (F.col("__part") == F.col("part_b")))
-    counts = few.groupBy(*keys, *ranks, "before", F.col("__value").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    cum = counts.withColumn("upto", F.col("before") + F.expr(f"sum(c) over (partition by {part} order by v)"))
-    at = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col("v")))
-    ends = cum.groupBy(*keys, *ranks).agg(at("rank_lo").alias("a"), at("rank_hi").alias("b"))
-    return ends.select(*keys, "n", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("q") * (F.col("n") - 1) - F.col("rank_lo"))).alias("quantile"))
+    return settle(values, found, keys, value).drop("q")

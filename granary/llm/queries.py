@@ -9,9 +9,10 @@ from granary.llm.components import pruned_components, star_components
 from granary.llm.leakage import leaks
 from granary.llm.hamming import cross_split_overlap, nearest_neighbours, overlap_report, similar_vectors
 from granary.llm.pii import personal_information
-from granary.llm.quantiles import digests, exact_quantile, merge, percentiles, valid
+from granary.llm.quantiles import digests, exact_quantile, merge, percentiles
 from granary.llm.splits import assign_splits, related, split_conflicts
 from granary.llm.tokens import encode_corpus
+from granary.operators.quantile import finite
 from granary.session import cut, table
 
 
@@ -82,7 +83,7 @@ def timings(spark: SparkSession, sf: str) -> DataFrame:
     no row."""
     rows = table(spark, sf, "result_rows").select("result_id", category(F.col("method")).alias("method"), F.to_date("created_at").alias("day"), "processing_ms", "prediction_ms").where("method is not null").distinct()
     long = rows.select("result_id", "method", "day", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("processing_ms", "prediction_ms")])).alias("e"))
-    return long.select("result_id", "method", "e.field", "day", "e.value").where(valid(F.col("value")) & (F.col("value") >= 0))
+    return long.select("result_id", "method", "e.field", "day", "e.value").where(finite(F.col("value")) & (F.col("value") >= 0))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,23 +6,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import quantiles as Q
+from granary.operators import quantile as C
 
 
 def test_compression_keeps_count_and_rank_error():
     rng = np.random.default_rng(1)
     leaves = rng.lognormal(5, 1.5, 50_000)
-    q = np.floor((np.log(leaves) - Q._FLOOR) * Q.STEPS).astype(np.int64) + 1 + Q._ZERO
-    node, count = np.unique(q + (1 << Q.BITS), return_counts=True)
+    q = np.floor((np.log(leaves) - C.FLOOR) * C.STEPS).astype(np.int64) + 1 + C.ZERO
+    node, count = np.unique(q + (1 << C.BITS), return_counts=True)
     k = 200
     n, c = Q.compress(node, count, k)
     assert c.sum() == 50_000 and len(n) <= 3 * k and len(set(n.tolist())) == len(n)
     level = np.frexp(n.astype(float))[1] - 1
-    lo = (n << (Q.BITS - level)) - (1 << Q.BITS)
-    hi = lo + (1 << (Q.BITS - level)) - 1
+    lo = (n << (C.BITS - level)) - (1 << C.BITS)
+    hi = lo + (1 << (C.BITS - level)) - 1
     srt = np.sort(q)
     for r in (0, 500, 25_000, 49_999):
         up = min(h for h in hi if c[hi <= h].sum() > r)
-        assert srt[r] <= up and np.searchsorted(srt, up, "right") - r <= Q.BITS * 50_000 / k + (srt == up).sum()
+        assert srt[r] <= up and np.searchsorted(srt, up, "right") - r <= C.BITS * 50_000 / k + (srt == up).sum()
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +54,7 @@ def test_percentiles_enclose(values):
         assert r.lower <= v[math.ceil(rank)] and v[math.floor(rank)] <= r.upper
         assert r.n == len(v) and r.lower <= r.value <= r.upper
         exact = np.quantile(v, r.q)
-        assert ((v > min(r.value, exact)) & (v < max(r.value, exact))).sum() <= r.rank_error <= Q.BITS * len(v) / 100 + ((v >= r.lower) & (v <= r.upper)).sum()
+        assert ((v > min(r.value, exact)) & (v < max(r.value, exact))).sum() <= r.rank_error <= C.BITS * len(v) / 100 + ((v >= r.lower) & (v <= r.upper)).sum()
 
 
 def test_a_million_values_in_one_leaf(spark):
@@ -70,9 +71,9 @@ def test_a_million_values_in_one_leaf(spark):
 def test_leaves_are_relative_and_monotone(spark):
     x = np.array([-1.7e308, -3.0, -1e-9, -5e-324, 0.0, 5e-324, 1e-300, 1e-9, 1.0001e-9, 0.5, 0.502, 1.0, 100.0, 1.7e308])
     rows = spark.createDataFrame([(float(v),) for v in x], "v double")
-    got = rows.select("v", Q.leaf_of(F.col("v")).alias("leaf"), Q._edge(Q.leaf_of(F.col("v")), False).alias("a"), Q._edge(Q.leaf_of(F.col("v")), True).alias("b")).orderBy("v").collect()
+    got = rows.select("v", C.leaf_of(F.col("v")).alias("leaf"), C.edge(C.leaf_of(F.col("v")), False).alias("a"), C.edge(C.leaf_of(F.col("v")), True).alias("b")).orderBy("v").collect()
     leaves = [r.leaf for r in got]
-    assert leaves == sorted(leaves) and 0 < leaves[0] and leaves[-1] < 1 << Q.BITS and len(set(leaves)) >= len(x) - 1
+    assert leaves == sorted(leaves) and 0 < leaves[0] and leaves[-1] < 1 << C.BITS and len(set(leaves)) >= len(x) - 1
     assert all(r.a <= r.v <= r.b for r in got)
 
 
