@@ -1,7 +1,7 @@
 """Training and applying classifiers on feature arrays (L3, L4, L8): forests, linear heads, nearest centroids.
 
-Checkpoints are chosen in ``metrics`` (L9). Not built: predictions that check the model's processing, feature and method (L5)
-and training from split to evaluation in one call (L6).
+Checkpoints are chosen in ``metrics`` (L9); training from split to metrics (L6) and predictions that check a model's record (L5)
+are in ``runs``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from granary.operators.metrics import class_weights
 from granary.schemas import STAGES
+from granary.session import bounded, cut
 
 
 def weighted(rows: DataFrame, label: str) -> DataFrame:
@@ -51,11 +52,11 @@ def predict(model: PipelineModel, rows: DataFrame, features: str, classes: tuple
 def nearest_centroid(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """``(key, label, assigned, distance)``: the label whose mean vector is nearest, the smallest on a tie.
 
-    Means are one aggregation over (label, position); there are as many means as labels, so they are collected into one
-    small row that every task holds. Rows with a null vector or label take no part in the means; null vectors get no row.
+    Means are one aggregation over (label, position); there are as many means as labels, so they are gathered into one row,
+    which is broadcast if its measured size allows. Rows with a null vector or label take no part in the means; null vectors get no row.
     """
     dims = rows.where(F.col(vector).isNotNull()).select(key, label, F.posexplode(vector).alias("__i", "__v"))
     means = dims.where(F.col(label).isNotNull()).groupBy(label, "__i").agg(F.avg(F.col("__v").cast("double")).alias("__m")).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias("__mean"))
     table = means.agg(F.array_sort(F.collect_list(F.struct(label, "__mean"))).alias("__means"))
     square = F.transform("__means", lambda c: F.struct(F.aggregate(F.zip_with(c["__mean"], F.col(vector), lambda a, b: (a - b.cast("double")) * (a - b.cast("double"))), F.lit(0.0), lambda s, x: s + x).alias("d"), c[label].alias("l")))
-    return rows.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(table)).select(key, label, F.array_min(square).alias("b")).select(key, label, F.col("b.l").alias("assigned"), F.col("b.d").alias("distance"))
+    return rows.where(F.col(vector).isNotNull()).crossJoin(bounded(cut(table))).select(key, label, F.array_min(square).alias("b")).select(key, label, F.col("b.l").alias("assigned"), F.col("b.d").alias("distance"))

@@ -7,7 +7,6 @@ import copy
 import hashlib
 import json
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -18,6 +17,7 @@ from granary.operators.models import predict, train
 from granary.operators.splits import holdout_guard, manifest_difference, require_split, stratified_split
 from granary.schemas import METHODS, STAGES
 from granary.session import cut
+from granary.sources import storage
 
 #: Display names of methods and classifiers.
 LABELS = {"baseline": "RGB baseline", "hsv": "HSV", "otsu": "Otsu", "kmeans": "K-means", "grabcut": "GrabCut", "watershed": "Watershed", "hybrid": "Hybrid A", "hybrid_refined": "Hybrid B", "random_forest": "Random Forest", "shared_cnn": "Shared CNN"}
@@ -90,8 +90,8 @@ def incompatible_runs(runs: DataFrame, reference: str, keys: tuple[str, ...] = (
 
 def read_report(folder: str) -> dict:
     """Metrics of a finished report; their digest must be the one its metadata names, and all methods must be there."""
-    meta = json.loads((Path(folder) / "metadata.json").read_text(encoding="utf-8"))
-    raw = (Path(folder) / "metrics.json").read_bytes()
+    meta = json.loads(storage.read_bytes(f"{folder}/metadata.json"))
+    raw = storage.read_bytes(f"{folder}/metrics.json")
     if meta.get("status") != "completed":
         raise ValueError("the report is not completed")
     if hashlib.sha256(raw).hexdigest() != meta.get("metrics_sha256"):
@@ -111,19 +111,19 @@ def load_model(folder: str, metadata: dict, trusted: bool = False):
 
     if not trusted:
         raise PermissionError("only trusted models are loaded")
-    saved = json.loads((Path(folder) / "model.json").read_text(encoding="utf-8"))
+    saved = json.loads(storage.read_bytes(f"{folder}/model.json"))
     for key in _RECORDED:
         if saved.get(key) != metadata.get(key):
             raise ValueError(f"{key} of model and run differ")
     if saved.get("spark") != metadata.get("spark", saved.get("spark")):
         raise ValueError("the model was saved by another version")
-    return PipelineModel.load(str(Path(folder) / "model"))
+    return PipelineModel.load(f"{folder}/model")
 
 
 def save_model(model, folder: str, metadata: dict) -> None:
     """K8: the pipeline, then the record that :func:`load_model` checks."""
-    model.write().save(str(Path(folder) / "model"))
-    (Path(folder) / "model.json").write_text(json.dumps({k: metadata.get(k) for k in (*_RECORDED, "spark")}), encoding="utf-8")
+    model.write().save(f"{folder}/model")
+    storage.write_bytes(f"{folder}/model.json", json.dumps({k: metadata.get(k) for k in (*_RECORDED, "spark")}).encode())
 
 
 #: Names the features that models of this engine are trained on.

@@ -102,3 +102,15 @@ def cluster_counts(pixels: DataFrame, by: str, cluster: str, border) -> DataFram
     n = pixels.groupBy(by, cluster).agg(F.count_if(border).alias("border"), F.count(F.lit(1)).alias("everywhere"))
     best = F.row_number().over(W.partitionBy(by).orderBy(F.desc("border"), F.desc("everywhere"), cluster))
     return n.withColumn("background", best == 1)
+
+
+def arrays_agree(levels, a, b):
+    """U2, A21 on an array of levels: as :func:`mask_agreement`, for masks ``a`` and ``b`` given as functions of a level and its
+    place."""
+    n = F.size(levels).cast("double")
+    count = lambda f: F.size(F.filter(levels, f))
+    both, either = count(lambda x, i: a(x, i) & b(x, i)), count(lambda x, i: a(x, i) | b(x, i))
+    return F.struct(
+        (count(a) / n).alias("fraction_a"), (count(b) / n).alias("fraction_b"), (both / n).alias("intersection"),
+        (count(lambda x, i: a(x, i) != b(x, i)) / n).alias("disagreement"), F.when(either == 0, 1.0).otherwise(both / either).alias("jaccard"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from granary.functions.normalize import digest, phash_bits, split_name
 from granary.functions.scalars import basename, has_image_extension, parse_labels
 from granary.operators import duplicates, neardup
-from granary.session import table
+from granary.session import cut, table
 
 
 def images(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +57,7 @@ def doc_dup_groups(spark, sf):
 
 def audit_summary(spark, sf):
     """Counts of valid and failed images, of groups by bytes and by pixels."""
-    i = images(spark, sf)
+    i = cut(images(spark, sf))
     base = i.agg(F.count_if(F.col("error") == "").alias("valid_images"), F.count_if(F.col("error") != "").alias("invalid_images"))
     by = [duplicates.audit_summary(duplicates.duplicate_groups(i, k, "split", ["fruit", "stage"], "path")).select(*[F.col(c).alias(f"{p}_{c}") for c in ("n_groups", "redundant_copies", "cross_split_groups", "conflicting_groups")]) for k, p in (("sha256", "byte"), ("pixel_sha256", "pixel"))]
     return base.crossJoin(by[0]).crossJoin(by[1])

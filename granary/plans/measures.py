@@ -30,7 +30,7 @@ def _histogram(spark, sf):
 
 
 def histogram(spark, sf):
-    """Histogram of event values."""
+    """Histogram of event values."""
     return _histogram(spark, sf)
 
 
@@ -122,12 +122,16 @@ def throttled_events(spark, sf):
     return throttle(_events(spark, sf).where("user_id is not null and ts is not null"), "user_id", "ts", "event_id", 3600.0).select("event_id")
 
 
-def _pixels(spark, sf):
-    """Embeddings as 8 x 8 images of levels 0 to 255."""
+def _levels(spark, sf):
+    """Embeddings as 8 x 8 images: ``(vec_id, q)`` with 64 levels 0 to 255, row by row."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     lo, hi = F.array_min("v"), F.array_max("v")
-    q = F.transform("v", lambda x: F.floor((x - lo) / F.when(hi > lo, hi - lo).otherwise(1.0) * 255).cast("bigint"))
-    return e.select("vec_id", F.posexplode(q).alias("i", "bin")).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "bin")
+    return e.select("vec_id", F.transform("v", lambda x: F.floor((x - lo) / F.when(hi > lo, hi - lo).otherwise(1.0) * 255).cast("bigint")).alias("q"))
+
+
+def _pixels(spark, sf):
+    """The same, a row per pixel."""
+    return _levels(spark, sf).select("vec_id", F.posexplode("q").alias("i", "bin")).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "bin")
 
 
 def pixel_otsu(spark, sf):
@@ -147,8 +151,8 @@ def pixel_otsu(spark, sf):
 
 def mask_agreement(spark, sf):
     """Two masks of every 8 x 8 image compared."""
-    p = _pixels(spark, sf)
-    g = T.mask_agreement(p, ["vec_id"], F.col("bin") > 127, (F.col("x") + F.col("y")) % 2 == 0)
+    chequer = lambda x, i: (F.floor(i / 8) + i % 8) % 2 == 0
+    g = _levels(spark, sf).where("size(q) > 0").select("vec_id", T.arrays_agree(F.col("q"), lambda x, i: x > 127, chequer).alias("m")).select("vec_id", "m.*")
     return g.select("vec_id", *[F.round(c, 6).alias(c) for c in g.columns if c != "vec_id"])
 
 
@@ -166,7 +170,7 @@ def centroid_assign(spark, sf):
 
 
 def largest_lines(spark, sf):
-    """The largest object of each order by area, and its place by area; ties keep the first."""
+    """The largest object of each order by area; ties keep the first."""
     x = table(spark, sf, "lineitem")
     return x.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", -F.col("l_linenumber"))).alias("largest"), F.max("l_quantity").alias("area"), F.count(F.lit(1)).alias("objects"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from granary.functions.scalars import has_image_extension, parse_labels
 from granary.schemas import EXTENSIONS
+from granary.sources import storage
 
 #: Fixed value: largest archive entry that is read.
 ENTRY_CAP = 50 << 20
@@ -30,15 +32,17 @@ def dataset_root(folder: str) -> str:
     return str(inner[0])
 
 
-def scan_images(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """``(path, bytes, sha256, label)`` of supported images below ``root``, paths relative to it.
+def scan_images(spark: SparkSession, root: str, glob: str = "*", content: bool = False) -> DataFrame:
+    """``(path, bytes, sha256, label)`` of supported images below ``root``, paths relative to it, and their
+    ``content`` if asked.
 
-    Content is read only to be hashed; without ``sha256`` in the result Spark doesn't open the files.
+    Without ``content`` files are read only to be hashed; without ``sha256`` in the result Spark doesn't open them. ``root`` may
+    be on any file system that Spark reads.
     """
-    base = Path(root).resolve().as_uri().rstrip("/") + "/"
+    base = "file:///" + storage.qualified(root).removeprefix("file:").lstrip("/").rstrip("/") + "/" if storage.qualified(root).startswith("file:") else storage.qualified(root).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "file:///"), "^" + base.replace(".", r"\.").replace("+", r"\+"), "")
-    rows = files.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(has_image_extension(F.col("path")))
+    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "file:///"), "^" + re.escape(base), "")
+    rows = files.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), *(["content"] if content else [])).where(has_image_extension(F.col("path")))
     return rows.withColumn("label", parse_labels(F.col("path")))
 
 

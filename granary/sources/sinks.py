@@ -1,4 +1,4 @@
-"""Sinks (K1-K5, K9, K11): contract-checked tables, safe spreadsheets, guarded destinations, completion markers."""
+"""Sinks (K1-K6, K9, K11): contract-checked tables, safe spreadsheets, guarded destinations, completion markers."""
 
 from __future__ import annotations
 
@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from granary.functions.scalars import safe_cell
 from granary.schemas import conform
+from granary.sources import storage
 
 
 def guard_destination(path: str, protected: list[str]) -> str:
     """K3: ``path`` if it doesn't exist and isn't inside (or equal to) any protected folder; else an error."""
-    target = Path(path).resolve()
-    if target.exists():
+    if storage.exists(path):
         raise FileExistsError(path)
     for p in protected:
-        if target.is_relative_to(Path(p).resolve()):
+        if storage.inside(path, p):
             raise ValueError(f"{path} is inside {p}")
     return path
 
@@ -39,24 +39,44 @@ def export_csv(df: DataFrame, path: str, contract: tuple[str, ...], protected: l
 
 def write_json(path: str, value: dict) -> None:
     """K5: indented JSON; NaN is refused."""
-    Path(path).write_text(json.dumps(value, indent=2, allow_nan=False), encoding="utf-8")
+    storage.write_bytes(path, json.dumps(value, indent=2, allow_nan=False).encode())
 
 
-def new_run_folder(outputs: str, method: str, now: datetime | None = None) -> Path:
+def write_pictures(pictures: DataFrame, folder: str) -> None:
+    """K6: ``content`` of each row as a file ``name`` in a new folder; an existing folder, a name with a slash or one that comes
+    twice is an error. Tasks write their own pictures, so the folder must be one that all executors share."""
+    twice = pictures.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or name is null or name like '%/%'").limit(1).count()
+    if twice:
+        raise ValueError("names must be single and without slashes")
+    storage.make_folder(folder)
+    target = storage.qualified(folder)
+    if not target.startswith("file:"):
+        raise ValueError("pictures are written to a mounted folder only")
+    local = target.removeprefix("file:")
+
+    def write(rows) -> None:
+        for r in rows:
+            with open(f"{local}/{r['name']}", "xb") as f:
+                f.write(bytes(r["content"]))
+
+    pictures.where("content is not null").select("name", "content").foreachPartition(write)
+
+
+def new_run_folder(outputs: str, method: str, now: datetime | None = None) -> str:
     """A new folder named by the UTC time in microseconds; an existing one is an error."""
     stamp = (now or datetime.now(timezone.utc)).strftime("%Y%m%dT%H%M%S_%fZ")
-    folder = Path(outputs) / method / stamp
-    folder.mkdir(parents=True, exist_ok=False)
+    folder = f"{outputs}/{method}/{stamp}"
+    storage.make_folder(folder)
     return folder
 
 
-def write_run(folder: Path, metadata: dict, tables: dict[str, DataFrame]) -> None:
+def write_run(folder: str | Path, metadata: dict, tables: dict[str, DataFrame]) -> None:
     """K9: metadata says ``building`` until all tables are written, then ``completed``; on an error ``failed``."""
-    meta = str(folder / "metadata.json")
+    meta = f"{folder}/metadata.json"
     write_json(meta, {**metadata, "status": "building"})
     try:
         for name, df in tables.items():
-            df.write.mode("errorifexists").parquet(str(folder / name))
+            df.write.mode("errorifexists").parquet(f"{folder}/{name}")
     except Exception:
         write_json(meta, {**metadata, "status": "failed"})
         raise

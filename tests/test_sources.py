@@ -82,7 +82,7 @@ def test_runs_and_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "p"), header=True).columns == list(PREDICTIONS)
     now = dt.datetime(2026, 8, 28, 8, 58, 10, 496281)
     folder = sinks.new_run_folder(str(tmp_path / "outputs"), "otsu", now)
-    assert folder.name == "20260828T085810_496281Z"
+    assert folder.endswith("/otsu/20260828T085810_496281Z")
     with pytest.raises(FileExistsError):
         sinks.new_run_folder(str(tmp_path / "outputs"), "otsu", now)
     sinks.write_run(folder, {"method": "otsu", "seed": 42, "counts": {"train": 3}}, {"predictions": df})
@@ -90,13 +90,13 @@ def test_runs_and_sinks(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.write_run(bad, {"method": "otsu"}, {"x": df.select(F.raise_error(F.lit("boom")))})
     torn = sinks.new_run_folder(str(tmp_path / "outputs"), "hsv", now)
-    (torn / "metadata.json").write_text("{")
+    open(torn + "/metadata.json", "w").write("{")
     runs = {(r.folder, r.run): r for r in files.discover_runs(spark, str(tmp_path / "outputs")).collect()}
-    assert runs["otsu", folder.name].warning is None and runs["otsu", folder.name].counts == {"train": 3}
-    assert runs["otsu", bad.name].warning == "run is not completed" and runs["hsv", torn.name].warning == "unreadable metadata"
+    assert runs["otsu", "20260828T085810_496281Z"].warning is None and runs["otsu", "20260828T085810_496281Z"].counts == {"train": 3}
+    assert runs["otsu", bad.rsplit("/", 1)[1]].warning == "run is not completed" and runs["hsv", torn.rsplit("/", 1)[1]].warning == "unreadable metadata"
     with pytest.raises(ValueError):
         sinks.write_json(str(tmp_path / "x.json"), {"a": float("nan")})
-    assert json.loads((folder / "metadata.json").read_text())["status"] == "completed"
+    assert json.loads(open(folder + "/metadata.json").read())["status"] == "completed"
 
 
 @pytest.mark.parametrize("kind", ["random_forest", "linear"])
@@ -123,7 +123,8 @@ def test_forest_query_trains_the_whole_forest(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     made, train = [], models.train
     monkeypatch.setattr(models, "train", lambda *a, **k: made.append(train(*a, **k)) or made[-1])
-    assert forest_predictions(spark, str(tmp_path)).count() == 40
+    # a fifth of each stage is held out and scored
+    assert forest_predictions(spark, str(tmp_path)).count() == 9
     assert [(m.stages[-1].getNumTrees, m.stages[-1].getOrDefault("maxDepth")) for m in made] == [(300, 30)]
 
 
@@ -160,3 +161,32 @@ def test_checkpoint_by_mean_macro_f1_and_mean_losses(spark):
     assert {r.epoch: r.train_loss for r in mean_losses(losses, ("epoch",), "loss", "n").collect()} == {1: 3.0, 2: 1.0}
     with pytest.raises(Exception, match="nonfinite"):
         mean_losses(spark.createDataFrame([(1, float("nan"), 1)], "epoch int, loss double, n int"), ("epoch",), "loss", "n").collect()
+
+
+def test_pictures_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([("a.png", bytearray(png(APPLE))), ("b.png", bytearray(b"x")), ("c.png", None)], "name string, content binary")
+    sinks.write_pictures(df, str(tmp_path / "p"))
+    assert (tmp_path / "p" / "a.png").read_bytes() == png(APPLE) and not (tmp_path / "p" / "c.png").exists()
+    with pytest.raises(FileExistsError):
+        sinks.write_pictures(df, str(tmp_path / "p"))
+    for bad in (df.unionByName(df), df.withColumn("name", F.lit("x/y"))):
+        with pytest.raises(ValueError):
+            sinks.write_pictures(bad, str(tmp_path / "q"))
+
+
+def test_storage(spark, tmp_path):
+    from granary.sources import storage
+
+    p = str(tmp_path / "f.txt")
+    storage.write_bytes(p, b"one")
+    storage.write_bytes(p, b"two")
+    assert storage.read_bytes(p) == b"two" and storage.exists(p) and storage.inside(p, str(tmp_path)) and not storage.inside(str(tmp_path) + "x", str(tmp_path))
+    with pytest.raises(FileExistsError):
+        storage.write_bytes(p, b"three", overwrite=False)
+    with pytest.raises(FileNotFoundError):
+        storage.read_bytes(p + "x")
+    storage.move(p, p + "2")
+    with pytest.raises(FileExistsError):
+        storage.move(p + "2", str(tmp_path))
+    storage.remove(p + "2")
+    assert not storage.exists(p + "2")
