@@ -122,6 +122,13 @@ def orient(rgb: np.ndarray, orientation: int) -> np.ndarray:
     return np.ascontiguousarray(flips.get(orientation, lambda x: x)(rgb))
 
 
+def swap_channels(pixels: np.ndarray) -> np.ndarray:
+    """BGR to RGB or back; anything but an 8-bit picture of three channels is an error."""
+    if pixels.ndim != 3 or pixels.shape[2] != 3 or pixels.dtype != np.uint8 or not pixels.size:
+        raise ValueError("a picture of three 8-bit channels is needed")
+    return np.ascontiguousarray(pixels[..., ::-1])
+
+
 def encode_png(rgb: np.ndarray) -> bytes:
     """An 8-bit RGB PNG of a picture (K6)."""
     h, w = rgb.shape[:2]

@@ -19,6 +19,7 @@ from granary.kernels import decode as D
 from granary.kernels import pixels as P
 from granary.kernels import segment as G
 from granary.schemas import BLEMISH_REPORT, conform
+from granary.sources import storage
 
 
 #: Bytes of results that a worker gathers before it hands them on.
@@ -215,3 +216,55 @@ def crop_objects(rows: DataFrame, keep: list[str] = ["path"], mode: str = "permi
 
     packed = _run(rows, "objects array<struct<object_no:bigint;area:bigint;x:bigint;y:bigint;width:bigint;height:bigint;crop:binary>>".replace(";", ","), one, mode, keep)
     return packed.select(*keep, "error", F.explode_outer("objects").alias("o")).select(*keep, "error", "o.*")
+
+
+def cached_features(rows: DataFrame, cache: str, method: str, spec_sha256: str, keep: list[str] = ["path"]) -> DataFrame:
+    """Features of the masked images, read from the Parquet folder ``cache`` where content, method and parameters are the
+    same, and made and added to it where they aren't. ``rows`` has ``content``; equal content is made once."""
+    spark = rows.sparkSession
+    keyed = rows.select(*keep, "content", F.sha2("content", 256).alias("sha256"))
+    schema = "sha256 string, method string, spec_sha256 string, features array<float>"
+    known = spark.read.schema(schema).parquet(cache) if storage.exists(cache) else spark.createDataFrame([], schema)
+    mine = (F.col("method") == method) & (F.col("spec_sha256") == spec_sha256)
+    new = keyed.select("sha256", "content").dropDuplicates(["sha256"]).join(known.where(mine).select("sha256"), "sha256", "left_anti")
+    made = image_features(new, method, ["sha256"]).drop("error").withColumn("method", F.lit(method)).withColumn("spec_sha256", F.lit(spec_sha256))
+    made.select("sha256", "method", "spec_sha256", "features").write.mode("append").parquet(cache)
+    return keyed.drop("content").join(spark.read.schema(schema).parquet(cache).where(mine).select("sha256", "features"), "sha256").select(*keep, "sha256", "features")
+
+
+def register_functions(spark) -> None:
+    """The kernels as SQL functions over ``content``: ``image_phash``, ``image_pixel_sha256``, ``image_features``,
+    ``mask_fraction(content, method)`` and ``quality_grade(fraction)``. Arrow batches, null for what can't be decoded."""
+    def attempt(one, *columns):
+        def safe(*values):
+            try:
+                return None if values[0] is None else one(*values)
+            except ValueError:
+                return None
+
+        return pd.Series([safe(*v) for v in zip(*columns)], dtype=object)
+
+    def phash(rgb) -> int:
+        p = P.perceptual_hash(rgb)
+        return p - (1 << 64) if p >> 63 else p
+
+    def digest(rgb) -> str:
+        return hashlib.sha256(f"{rgb.shape[1]}x{rgb.shape[0]}:".encode() + rgb.tobytes()).hexdigest()
+
+    def over(kind: str, one):
+        @F.pandas_udf(kind)
+        def run(content: pd.Series) -> pd.Series:
+            return attempt(lambda c: one(D.decode(bytes(c))[0]), content)
+
+        return run
+
+    @F.pandas_udf("double")
+    def fraction(content: pd.Series, method: pd.Series) -> pd.Series:
+        return attempt(lambda c, m: G.segment(D.decode(bytes(c))[0], m)["foreground_fraction"], content, method)
+
+    @F.pandas_udf("string")
+    def grade(value: pd.Series) -> pd.Series:
+        return pd.Series([G.grade(None if pd.isna(v) else float(v)) for v in value], dtype=object)
+
+    for name, f in (("image_phash", over("bigint", phash)), ("image_pixel_sha256", over("string", digest)), ("image_features", over("array<float>", lambda rgb: P.features(rgb).tolist())), ("mask_fraction", fraction), ("quality_grade", grade)):
+        spark.udf.register(name, f)

@@ -130,3 +130,31 @@ def test_previews_of_changed_sources_are_left_out(spark):
     p = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "path string, sha256 string")
     s = spark.createDataFrame([("a", "1"), ("b", "9"), ("c", None), ("a", "1")], "path string, sha256 string")
     assert [r.path for r in R.unchanged_previews(p, s).collect()] == ["a"]
+
+
+def test_features_are_made_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", bytearray(png(APPLE))), ("b", bytearray(png(APPLE)))], "path string, content binary")
+    spec, cache = R.spec_digest(R.method_spec("hsv")), str(tmp_path / "cache")
+    for _ in range(2):
+        rows = imaging.cached_features(df, cache, "hsv", spec).collect()
+        assert [r.path for r in sorted(rows)] == ["a", "b"] and all(len(r.features) == 3072 for r in rows)
+        assert spark.read.parquet(cache).count() == 1
+    imaging.cached_features(df, cache, "otsu", R.spec_digest(R.method_spec("otsu"))).collect()
+    assert spark.read.parquet(cache).count() == 2
+
+
+def test_kernels_as_sql_functions(spark):
+    imaging.register_functions(spark)
+    spark.createDataFrame([(bytearray(png(APPLE)),), (bytearray(b"x"),), (None,)], "content binary").createOrReplaceTempView("files_for_sql")
+    rows = spark.sql("select image_phash(content) p, image_pixel_sha256(content) s, size(image_features(content)) n, mask_fraction(content, 'hsv') f, quality_grade(mask_fraction(content, 'hsv') / 10) g from files_for_sql").collect()
+    assert rows[0].n == 3072 and 0.3 < rows[0].f < 0.5 and rows[0].g == "Good" and len(rows[0].s) == 64 and rows[0].p is not None
+    assert all(r.p is None and r.s is None and r.f is None and r.g == "Not graded" for r in rows[1:])
+
+
+def test_channels_are_swapped():
+    from granary.kernels.decode import swap_channels
+
+    assert (swap_channels(APPLE)[..., 0] == APPLE[..., 2]).all()
+    for bad in (APPLE[..., 0], APPLE.astype(float), APPLE[:0]):
+        with pytest.raises(ValueError):
+            swap_channels(bad)
