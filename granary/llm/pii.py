@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.session import cut
 
@@ -467,7 +467,7 @@ def evidence(text: str, model: Model) -> tuple[set[str], set[str], set[tuple[str
     return low, small, seen
 
 
-def learn(docs: DataFrame, text: str, lexicon: DataFrame, least: int = 2, share: float = 0.2, everyday: float = 0.0002) -> DataFrame:
+def learn(docs: DataFrame, text: str, lexicon: DataFrame, least: int = 2, share: float = 0.2, everyday: float = 0.0002, most_bytes: int = 16 << 20) -> DataFrame:
     """``(token, kind)``: the lexicon's names, and those, towns and everyday words (``common``) that the corpus teaches.
 
     A word is learned as a name if at least ``least`` texts, a millionth of all and ``share`` of those that hold it, other than
@@ -476,16 +476,17 @@ def learn(docs: DataFrame, text: str, lexicon: DataFrame, least: int = 2, share:
     times the mean number of such places in a text, and ``1 / everyday`` times the mean number of words. All texts are counted;
     counts are added up in each batch before anything is shuffled.
     """
-    rows = [(r["token"], r["kind"]) for r in lexicon.select("token", "kind").where("token is not null and kind in ('given', 'family')").distinct().collect()]
-    known = docs.sparkSession.createDataFrame([(_plain(t), k) for t, k in rows if t.strip()], "token string, kind string").distinct()
+    plain = F.lower(F.regexp_replace(F.trim(_one_to_one(F.col("token"))), r"(?U)\s+", " "))
+    known = cut(lexicon.where("kind in ('given', 'family')").select(plain.alias("token"), "kind").where("token <> ''").distinct())
+    source, rows = _with_facts(docs.select(F.lit(0).alias("key"), F.col(text).alias("__text")), known, most_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(rows)
+        shared = Model(rows) if rows is not None else None
         for batch in batches:
             every, small, facts = Counter(), Counter(), Counter()
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            for t in texts:
-                words, low, seen = evidence(t, model)
+            texts = [(t, m) for t, m in zip(batch.column(1).to_pylist(), _models(batch, shared)) if t]
+            for t, m in texts:
+                words, low, seen = evidence(t, m)
                 every.update(words)
                 small.update(low)
                 facts.update(seen)
@@ -494,7 +495,7 @@ def learn(docs: DataFrame, text: str, lexicon: DataFrame, least: int = 2, share:
             counts = [*every.values(), *small.values(), *facts.values(), len(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(tokens), pa.array(counts, pa.int64())], names=["kind", "word", "n"])
 
-    counted = docs.select(text).mapInArrow(count, "kind string, word string, n bigint")
+    counted = source.mapInArrow(count, "kind string, word string, n bigint")
     wide = counted.groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("any", "small", "firm", "given", "after", "family", "town", "texts")])
     wide = cut(wide.where("given + family + town + texts > 0 or small >= 2"))
     texts = wide.agg(F.max("texts").alias("n")).first()["n"] or 0
@@ -589,21 +590,15 @@ def personal_information(docs: DataFrame, key: str, text: str, lexicon: DataFram
     inside its task. What is known goes to every task while its measured size is at most ``most_bytes``; beyond that it is
     joined by word, so that each text comes with the entries that its own words name.
     """
-    facts = cut(learn(docs, text, lexicon))
-    size = facts.agg(F.coalesce(F.sum(F.octet_length("token") + 16), F.lit(0)).alias("b")).first()["b"]
-    source = docs.select(F.col(key), F.col(text).alias("__text"))
+    facts = cut(learn(docs, text, lexicon, most_bytes=most_bytes))
+    source, rows = _with_facts(docs.select(F.col(key), F.col(text).alias("__text")), facts, most_bytes)
     kind = source.schema[0].dataType.simpleString()
-    rows = None
-    if size <= most_bytes:
-        rows = [(r["token"], r["kind"]) for r in facts.collect()]
-    else:
-        source = _with_facts(source, facts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = Model(rows) if rows is not None else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            own = [shared] * len(texts) if shared else [Model((f["token"], f["kind"]) for f in fs or ()) for fs in batch.column(2).to_pylist()]
+            own = _models(batch, shared)
             if replace:
                 out = [t if not t else redact(t, find_spans(t, m)) for t, m in zip(texts, own)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, text])
@@ -620,12 +615,26 @@ def personal_information(docs: DataFrame, key: str, text: str, lexicon: DataFram
     return source.mapInArrow(run, f"`{key}` {kind}, `{text}` string" if replace else f"`{key}` {kind}, kind string, found_text string")
 
 
-def _with_facts(source: DataFrame, facts: DataFrame) -> DataFrame:
-    """``source`` with ``__facts``: the entries all of whose words occur in the text. Equal texts share one list."""
-    plain = F.lower(F.translate("__text", "".join(chr(c) for c in _ONE_TO_ONE), "".join(_ONE_TO_ONE[c] for c in _ONE_TO_ONE)))
-    words = F.regexp_extract_all(plain, F.lit(r"[\p{L}]+(?:['-][\p{L}]+)*"), 0)
+def _one_to_one(c: Column) -> Column:
+    return F.translate(c, "".join(chr(x) for x in _ONE_TO_ONE), "".join(_ONE_TO_ONE[x] for x in _ONE_TO_ONE))
+
+
+def _with_facts(source: DataFrame, facts: DataFrame, most_bytes: int) -> tuple[DataFrame, list | None]:
+    """``source`` and the entries for its tasks, all of them while their measured size allows; else ``source`` with ``__facts``,
+    for each text the entries whose last word it holds (equal texts share one list), and None."""
+    size = facts.agg(F.coalesce(F.sum(F.octet_length("token") + 16), F.lit(0)).alias("b")).first()["b"]
+    if size <= most_bytes:
+        return source, [(r["token"], r["kind"]) for r in facts.collect()]
+    words = F.regexp_extract_all(F.lower(_one_to_one(F.col("__text"))), F.lit(r"[\p{L}]+(?:['-][\p{L}]+)*"), 0)
     tagged = source.withColumn("__h", F.xxhash64("__text"))
     mine = tagged.where("__text is not null").select("__h", F.explode(F.array_distinct(words)).alias("w")).distinct()
     last = facts.select("token", "kind", F.element_at(F.split("token", " "), -1).alias("w"))
     lists = mine.join(last, "w").groupBy("__h").agg(F.collect_list(F.struct("token", "kind")).alias("__facts"))
-    return tagged.join(lists, "__h", "left").select(source.columns[0], "__text", "__facts")
+    return tagged.join(lists, "__h", "left").select(source.columns[0], "__text", "__facts"), None
+
+
+def _models(batch: pa.RecordBatch, shared: Model | None) -> list[Model]:
+    """A model for each text of a batch: the shared one, or one of its own entries."""
+    if shared is not None:
+        return [shared] * batch.num_rows
+    return [Model((f["token"], f["kind"]) for f in facts or ()) for facts in batch.column(2).to_pylist()]
