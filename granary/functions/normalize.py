@@ -23,7 +23,9 @@ def plain_path(c: Column) -> Column:
     p = F.regexp_replace(strip(c), r"[\\/]+", "/")
     p = F.regexp_replace(p, r"^(?:\./)+", "")
     p = F.regexp_replace(p, r"/(?:\./)+", "/")
-    return F.when(p != "", p)
+    # most paths are plain already, which one search tells
+    odd = c.rlike(r"(?U)^\s|\s$|\\|//|^\./|/\./")
+    return F.when(odd & (p != ""), p).when(~odd & (c != ""), c)
 
 
 def digest(c: Column) -> Column:

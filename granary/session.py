@@ -6,9 +6,10 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_count(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut` with aggregates of the table, gathered by the job that writes it.
+
+    A task that runs twice after the loss of an executor may count twice: use the numbers to see whether something changed or
+    is left, not as results. If the session's events are lost, the table is read once more.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation(f"cut-{uuid.uuid4().hex}")
+    done = df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).checkpoint(eager=True)
+    found: list[dict] = []
+    reader = threading.Thread(target=lambda: found.append(seen.get), daemon=True)
+    reader.start()
+    reader.join(30)
+    if found and found[0].keys() == metrics.keys():
+        return done, found[0]
+    return done, done.agg(*[c.alias(n) for n, c in metrics.items()]).first().asDict()
+
+
 def release(*frames: DataFrame) -> None:
     """Remove the files of tables made by :func:`cut` that nothing will read again; others are left alone.
 
