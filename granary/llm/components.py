@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from granary.session import cut, release
+from granary.session import cut, cut_and_count, release
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -53,11 +53,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return own.unionByName(others).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    """Row count and an order-free checksum, to see whether a step changed anything."""
-    checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    r = edges.agg(F.count(F.lit(1)).alias("n"), checksum.alias("h")).first()
-    return r["n"], int(r["h"] or 0)
+def _cut_edges(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges cut, with their number and an order-free checksum, to see whether a step changed anything."""
+    done, r = cut_and_count(edges, n=F.count(F.lit(1)), h=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    return done, (r["n"], int(r["h"] or 0))
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -66,12 +65,10 @@ def star_components(edges: DataFrame) -> DataFrame:
     An empty input gives an empty result. Every edge set is checkpointed, and the loop ends when a whole round leaves the
     edges as they were, which is when they form one star around each smallest vertex.
     """
-    now = cut(canonical(edges))
-    state = _state(now)
+    now, state = _cut_edges(canonical(edges))
     while state[0]:
         before, last = state, now
-        now = cut(_small_star(_large_star(now)))
-        state = _state(now)
+        now, state = _cut_edges(_small_star(_large_star(now)))
         release(last)
         if state == before:
             break
@@ -138,11 +135,11 @@ def _jump(arcs: DataFrame) -> DataFrame:
     return arcs.where("end is not null").unionByName(moved)
 
 
-def _open(arcs: DataFrame) -> tuple[int, int]:
-    """Number of arcs that don't know their end yet, and the sum of their smallest vertices."""
+def _cut_arcs(arcs: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The arcs cut, with the number of those that don't know their end yet, and the sum of their smallest vertices."""
     left = F.when(F.col("end").isNull(), F.col("m")).cast("decimal(38,0)")
-    r = arcs.agg(F.count_if(F.col("end").isNull()).alias("n"), F.sum(left).alias("s")).first()
-    return r["n"], int(r["s"] or 0)
+    done, r = cut_and_count(arcs, n=F.count_if(F.col("end").isNull()), s=F.sum(left))
+    return done, (r["n"], int(r["s"] or 0))
 
 
 def _rank(ends: DataFrame) -> DataFrame:
@@ -151,20 +148,18 @@ def _rank(ends: DataFrame) -> DataFrame:
     Arcs on rings never end. Once only such arcs are left and a round changes none of their smallest vertices, each knows
     the smallest of its ring: a window that twice its length doesn't better has met all of the ring.
     """
-    arcs = cut(_arcs(ends))
-    left = _open(arcs)
+    arcs, left = _cut_arcs(_arcs(ends))
     while left[0]:
         before, last = left, arcs
-        arcs = cut(_jump(arcs))
-        left = _open(arcs)
+        arcs, left = _cut_arcs(_jump(arcs))
         release(last)
         if left == before:
             break
     return arcs
 
 
-def prune(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round: the light vertices as ``(child, parent)`` and the edges left, with one for every chain between two
+def prune(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """One round: the light vertices as ``(child, parent)``, the edges left and their number, with one for every chain between two
     different heavy vertices. A parent is a heavy end of the path; of a path without one, the smaller of its two leaves; of
     a ring, its smallest vertex. The last two are no children themselves."""
     ends = cut(_ends_of_edges(edges))
@@ -178,9 +173,9 @@ def prune(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     paths = cut(paths.select("v", F.coalesce("lo", alone).alias("parent"), F.when((F.col("n") == 2) & (F.col("lo") < F.col("hi")), F.col("hi")).alias("other")))
     release(arcs)
     new = paths.where("other is not null").select(F.col("parent").alias("a"), F.col("other").alias("b")).distinct()
-    rest = cut(ends.where("da is null and db is null").select("a", "b").unionByName(new).distinct())
+    rest, (left, _) = _cut_edges(ends.where("da is null and db is null").select("a", "b").unionByName(new).distinct())
     release(ends)
-    return paths.where("v <> parent").select(F.col("v").alias("child"), "parent"), rest
+    return paths.where("v <> parent").select(F.col("v").alias("child"), "parent"), rest, left
 
 
 def pruned_components(edges: DataFrame, least_shrink: float = 0.05) -> DataFrame:
@@ -191,14 +186,13 @@ def pruned_components(edges: DataFrame, least_shrink: float = 0.05) -> DataFrame
     triangles lose only their ends in a round); :func:`star_components` solves it, and removed vertices take the root of the
     vertex they hung on, last removed first. An empty input gives no row.
     """
-    now, layers = cut(canonical(edges)), []
-    left = now.count()
+    now, (left, _) = _cut_edges(canonical(edges))
+    layers = []
     while left:
-        layer, rest = prune(now)
-        release(now)
+        before, last = left, now
+        layer, now, left = prune(last)
+        release(last)
         layers.append(layer)
-        now, before = rest, left
-        left = now.count()
         if left > (1 - least_shrink) * before:
             break
     labels = cut(star_components(now)) if left else now.select(F.col("a").alias("id"), F.col("b").alias("root"))
