@@ -10,15 +10,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from granary.session import cut
 
 BITS = 64
+#: Pairs of codes that are tested in the time in which one row is shuffled and sorted.
+ROW = 50
 
 
 def blocks_for(left: int, right: int, radius: int) -> int:
     """The number of blocks that costs least for so many distinct codes a side: each of the tables holds every code, and
-    evenly spread codes meet by chance in the more pairs the shorter the key is. Keys thus grow with the data: at radius 4 it
-    is 6 blocks (21 bits) up to some ten million codes, then 7 (27 bits), then 8 (32 bits), so that chance pairs stay in
-    proportion to the codes."""
+    evenly spread codes meet by chance in the more pairs the shorter the key is. A row that is shuffled and sorted costs as
+    much as testing :data:`ROW` pairs. Keys thus grow with the data: at radius 4 it is 6 blocks (21 bits) up to some three
+    hundred million codes, then 7 (27 bits), so that chance pairs stay in proportion to the codes."""
     def cost(b: int) -> float:
-        return comb(b, radius) * (left + right + left * right / 2.0 ** (BITS * (b - radius) / b))
+        return comb(b, radius) * (ROW * (left + right) + left * right / 2.0 ** (BITS * (b - radius) / b))
 
     return min(range(radius + 1, min(16, radius + 6) + 1), key=cost)
 
