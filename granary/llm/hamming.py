@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from granary.operators.neardup import code_pairs
+from granary.operators.neardup import ROW, code_pairs
 from granary.session import bounded, cut
 
 BITS = 64
@@ -74,14 +74,14 @@ def parts_for(left: int, right: int, radius: int, most_probes: int = 8192) -> in
     """Into how many substrings codes are best cut, given how many codes probe an index of how many.
 
     With ``m`` substrings one differs in at most ``radius // m`` bits, so each code probes that many flips of each; evenly
-    spread codes meet by chance the more the shorter substrings are. Few codes take many short substrings, many take few long
-    ones with more probes a code (at radius 7: 4 of 16 bits below a million codes, 3 of 21 bits below some thirty million, then
-    2 of 32 bits), so that the work a code stays bounded.
+    spread codes meet by chance the more the shorter substrings are; a probe costs as much as testing ``ROW`` pairs. Few codes
+    take many short substrings, many take few long ones with more probes a code (at radius 7: 4 of 16 bits below some forty
+    million codes, 3 of 21 bits below some two thousand million, then 2 of 32 bits), so that the work a code stays bounded.
     """
     def cost(m: int) -> float:
         width, most = -(-BITS // m), radius // m
         probes = sum(comb(width, n) for n in range(min(most, width) + 1))
-        return float("inf") if probes > most_probes else m * probes * left * (1 + right / 2.0 ** (BITS / m))
+        return float("inf") if probes > most_probes else m * probes * left * (ROW + right / 2.0 ** (BITS / m))
 
     return min(range(1, min(radius, 15) + 2), key=cost)
 
