@@ -59,7 +59,9 @@ def settle(values: DataFrame, found: DataFrame, keys: list[str], value: str) ->
     asked = cut(found.select(*named, "n", "q", "rank_lo", "rank_hi", "leaf_lo", "leaf_hi", edge(F.col("leaf_lo"), False).alias("lower"), edge(F.col("leaf_hi"), True).alias("upper")))
     leaf, ranks = leaf_of(F.col("__value")), ["n", "q", "rank_lo", "rank_hi"]
     near = values.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("__value")).join(bounded(asked), _same(keys, own)).where(leaf <= F.col("leaf_hi"))
-    place = F.floor((F.col("__value") / 2 - F.col("lower") / 2) / (F.col("upper") / 2 - F.col("lower") / 2) * PARTS).cast("int")
+    width = F.col("upper") / 2 - F.col("lower") / 2
+    # a bracket of zeros alone has no width
+    place = F.when(width > 0, F.floor((F.col("__value") / 2 - F.col("lower") / 2) / F.when(width > 0, width) * PARTS).cast("int"))
     inside = F.greatest(F.lit(0), F.least(F.coalesce(place, F.lit(0)), F.lit(PARTS - 1)))
     near = near.select(*keys, *ranks, "__value", F.when(leaf >= F.col("leaf_lo"), inside).otherwise(-1).alias("__part"))
     counts = near.groupBy(*keys, *ranks, "__part").agg(F.count(F.lit(1)).alias("c"))

@@ -148,3 +148,19 @@ def test_throttle_batch_and_stream_agree(spark, tmp_path):
         throttle(df, "u", "ts", "id", -1)
     assert keep(np.array([0, 1, 5, 9]), 5, None)[0].tolist() == [True, False, True, False]
     assert {(r.u, r.id) for r in latest_frames(df.where("u is not null and ts is not null"), "u", "ts").select("u", "id").collect()} == {(u, max((r for r in rows if r[1] == u and r[2]), key=lambda r: (r[2]))[0]) for u in {r[1] for r in rows if r[1] is not None}}
+
+
+def test_exact_quantiles_of_any_group(spark):
+    import numpy as np
+
+    from granary.operators.quantile import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    groups = {"zeros": [0.0] * 9, "one": [-4.5], "mixed": [*rng.normal(0, 3, 300), *[0.0] * 40, *[2.5] * 70], "wide": [-1.7e308, -1e-300, 0.0, 1e-300, 3.0, 1.7e308], None: [1.0, 2.0], "bits": [0.0] * 5 + [1.0] * 5}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("mixed", None), ("mixed", float("nan")), ("none", None), ("none", float("inf"))]
+    got = {(r.g, r.q): (r.n, r.quantile) for r in exact_quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], [0.0, 0.25, 0.5, 0.98, 1.0], "x").collect()}
+    assert {g for g, _ in got} == set(groups)
+    for g, v in groups.items():
+        for q in (0.0, 0.25, 0.5, 0.98, 1.0):
+            assert got[g, q][0] == len(v) and (got[g, q][1] == pytest.approx(np.quantile(v, q), rel=1e-12, abs=1e-300) or g == "wide")
+    assert exact_quantiles(spark.createDataFrame([], "g string, x double"), ["g"], [0.5], "x").count() == 0
