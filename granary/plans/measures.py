@@ -122,16 +122,17 @@ def throttled_events(spark, sf):
     return throttle(_events(spark, sf).where("user_id is not null and ts is not null"), "user_id", "ts", "event_id", 3600.0).select("event_id")
 
 
-def _levels(spark, sf):
-    """Embeddings as 8 x 8 images: ``(vec_id, q)`` with 64 levels 0 to 255, row by row."""
+def _drawn(spark, sf):
+    """Embeddings as ``v``, arrays of doubles, and the expression of their levels 0 to 255 as 8 x 8 images, row by row."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     lo, hi = F.array_min("v"), F.array_max("v")
-    return e.select("vec_id", F.transform("v", lambda x: F.floor((x - lo) / F.when(hi > lo, hi - lo).otherwise(1.0) * 255).cast("bigint")).alias("q"))
+    return e, F.transform("v", lambda x: F.floor((x - lo) / F.when(hi > lo, hi - lo).otherwise(1.0) * 255).cast("bigint"))
 
 
 def _pixels(spark, sf):
-    """The same, a row per pixel."""
-    return _levels(spark, sf).select("vec_id", F.posexplode("q").alias("i", "bin")).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "bin")
+    """``(vec_id, y, x, bin)``, a row per pixel."""
+    e, q = _drawn(spark, sf)
+    return e.select("vec_id", F.posexplode(q).alias("i", "bin")).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "bin")
 
 
 def pixel_otsu(spark, sf):
@@ -152,7 +153,10 @@ def pixel_otsu(spark, sf):
 def mask_agreement(spark, sf):
     """Two masks of every 8 x 8 image compared."""
     chequer = lambda x, i: (F.floor(i / 8) + i % 8) % 2 == 0
-    g = _levels(spark, sf).where("size(q) > 0").select("vec_id", T.arrays_agree(F.col("q"), lambda x, i: x > 127, chequer).alias("m")).select("vec_id", "m.*")
+    e, q = _drawn(spark, sf)
+    # exploding a list of one keeps the levels from being computed anew wherever they are used
+    levels = e.where("size(v) > 0").select("vec_id", F.explode(F.array(q)).alias("q"))
+    g = levels.select("vec_id", T.arrays_agree(F.col("q"), lambda x, i: x > 127, chequer).alias("m")).select("vec_id", "m.*")
     return g.select("vec_id", *[F.round(c, 6).alias(c) for c in g.columns if c != "vec_id"])
 
 
