@@ -8,7 +8,7 @@ import hashlib
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from granary.kernels import segment as G
 from granary.operators.imaging import segment_methods
@@ -208,7 +208,7 @@ def run_batch(inputs: DataFrame, reserved: DataFrame, methods: list[str], classi
     return running_positions(out, ["path", "method"])
 
 
-def running_positions(rows: DataFrame, order: list[str]) -> DataFrame:
+def running_positions(rows: DataFrame, order: list[str | Column]) -> DataFrame:
     """``position`` of every row from 1 in the given order, and ``total``, without sorting all rows in one task.
 
     Rows are sorted over tasks by range and counted per task; a task's rows are numbered on from the counts before it.

@@ -82,7 +82,7 @@ def prediction_grid(spark, sf):
 def video_grid(spark, sf):
     """The camera's results as frames at 25 a second, in the nine columns of the video grid."""
     r = table(spark, sf, "result_rows").where("source = 'camera:0'").select("result_id", "created_at", *[c for c in VIDEO_GRID if c not in ("frame_index", "timestamp_seconds")]).distinct()
-    placed = R.running_positions(r, ["created_at", "result_id"]).withColumn("frame_index", F.col("position")).withColumn("timestamp_seconds", F.round((F.col("position") - 1) / 25.0, 6))
+    placed = R.running_positions(r, [F.asc_nulls_last("created_at"), F.asc_nulls_last("result_id")]).withColumn("frame_index", F.col("position")).withColumn("timestamp_seconds", F.round((F.col("position") - 1) / 25.0, 6))
     return conform(placed, ("result_id", *VIDEO_GRID))
 
 
