@@ -10,7 +10,8 @@ vertex with at least one edge; all vertices of a component carry the same ``root
 Hot vertices: degrees and minima are aggregated map-side; which edges go is decided by grouping on the *pair*, never on a
 vertex; what must join on a vertex has a unique small side, so adaptive execution can split the hot partition. Every step is
 cut with a reliable checkpoint, and superseded ones are removed. No ids, edges or labels reach the driver, only counts: joins
-are sort-merge joins by hint, since a broadcast of every shrinking edge set would pass through the driver.
+are sort-merge joins by hint, since a broadcast of every shrinking edge set would pass through the driver. What the driver
+holds grows with the number of shuffles and cuts, so a step takes as few of them as it can.
 """
 
 from __future__ import annotations
@@ -46,11 +47,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """A vertex and its smaller neighbours are linked to the smallest of these."""
+    """A vertex and its smaller neighbours are linked to the smallest of these. Edges may repeat, until the next large star; stars have no repeats."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
     own = least.select(F.col("m").alias("a"), "b")
     others = edges.join(least.hint("merge"), "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return own.unionByName(others).distinct()
+    return own.unionByName(others)
 
 
 def _cut_edges(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -65,7 +66,11 @@ def star_components(edges: DataFrame) -> DataFrame:
     An empty input gives an empty result. Every edge set is checkpointed, and the loop ends when a whole round leaves the
     edges as they were, which is when they form one star around each smallest vertex.
     """
-    now, state = _cut_edges(canonical(edges))
+    return _stars(*_cut_edges(canonical(edges)))
+
+
+def _stars(now: DataFrame, state: tuple[int, int | None]) -> DataFrame:
+    """:func:`star_components` of canonical edges that have been cut, which are released, with their number and checksum if known."""
     while state[0]:
         before, last = state, now
         now, state = _cut_edges(_small_star(_large_star(now)))
@@ -123,16 +128,26 @@ def _arcs(ends: DataFrame) -> DataFrame:
 
 
 def _jump(arcs: DataFrame) -> DataFrame:
-    """One round of pointer jumping: an open arc takes over what the arc it points to knows."""
-    step = arcs.select(
-        F.col("v").alias("pv"), F.col("h").alias("ph"), F.col("pv").alias("qv"), F.col("ph").alias("qh"),
-        F.col("end").alias("e"), F.col("leaf").alias("l"), F.col("m").alias("n"),
-    )
-    moved = arcs.where("end is null").drop("end", "leaf").join(step.hint("merge"), ["pv", "ph"]).select(
-        "v", "h", F.col("qv").alias("pv"), F.col("qh").alias("ph"), F.col("e").alias("end"), F.col("l").alias("leaf"),
-        F.least("m", "n").alias("m"),
-    )
-    return arcs.where("end is not null").unionByName(moved)
+    """One round of pointer jumping: an open arc takes over what the arc it points to knows.
+
+    At most one arc points to another, so that asking and asked arc meet in one group of at most two, by a single shuffle.
+    """
+    none, no = F.lit(None).cast("bigint"), F.lit(None).cast("boolean")
+    asked = F.struct(F.col("v").alias("x"), F.col("h").alias("y"), "pv", "ph", "end", "leaf", "m", none.alias("rv"), none.alias("rh"), none.alias("rm"))
+    asks = F.struct(F.col("pv").alias("x"), F.col("ph").alias("y"), none.alias("pv"), none.alias("ph"), none.alias("end"), no.alias("leaf"), none.alias("m"), F.col("v").alias("rv"), F.col("h").alias("rh"), F.col("m").alias("rm"))
+    both = arcs.select(F.explode(F.array_compact(F.array(asked, F.when(F.col("end").isNull(), asks)))).alias("s")).select("s.*")
+    met = both.groupBy("x", "y").agg(*[F.max(c).alias(c) for c in ("pv", "ph", "end", "leaf", "m", "rv", "rh", "rm")])
+    done = F.when(F.col("end").isNotNull(), F.struct(F.col("x").alias("v"), F.col("y").alias("h"), "pv", "ph", "end", "leaf", "m"))
+    moved = F.when(F.col("rv").isNotNull(), F.struct(F.col("rv").alias("v"), F.col("rh").alias("h"), "pv", "ph", "end", "leaf", F.least("m", "rm").alias("m")))
+    return met.select(F.explode(F.array_compact(F.array(done, moved))).alias("s")).select("s.*")
+
+
+def _cut_ends(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """:func:`_ends_of_edges` cut, with the number of their arcs that don't know their end yet, and the sum of these arcs' vertices."""
+    first, second = F.col("da").isNotNull() & (F.col("db") == 2), F.col("db").isNotNull() & (F.col("da") == 2)
+    left = F.when(first, F.col("a")).otherwise(0).cast("decimal(38,0)") + F.when(second, F.col("b")).otherwise(0).cast("decimal(38,0)")
+    done, r = cut_and_count(_ends_of_edges(edges), n=F.count_if(first) + F.count_if(second), s=F.sum(left))
+    return done, (r["n"], int(r["s"] or 0))
 
 
 def _cut_arcs(arcs: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -142,16 +157,16 @@ def _cut_arcs(arcs: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     return done, (r["n"], int(r["s"] or 0))
 
 
-def _rank(ends: DataFrame) -> DataFrame:
-    """All arcs with their ends, by pointer jumping, which doubles the reach of every arc per round.
+def _rank(ends: DataFrame, left: tuple[int, int]) -> DataFrame:
+    """All arcs with their ends, by pointer jumping, which doubles the reach of every arc per round; two rounds go into a cut.
 
     Arcs on rings never end. Once only such arcs are left and a round changes none of their smallest vertices, each knows
     the smallest of its ring: a window that twice its length doesn't better has met all of the ring.
     """
-    arcs, left = _cut_arcs(_arcs(ends))
+    arcs = _arcs(ends)
     while left[0]:
         before, last = left, arcs
-        arcs, left = _cut_arcs(_jump(arcs))
+        arcs, left = _cut_arcs(_jump(_jump(arcs)))
         release(last)
         if left == before:
             break
@@ -162,8 +177,8 @@ def prune(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """One round: the light vertices as ``(child, parent)``, the edges left and their number, with one for every chain between two
     different heavy vertices. A parent is a heavy end of the path; of a path without one, the smaller of its two leaves; of
     a ring, its smallest vertex. The last two are no children themselves."""
-    ends = cut(_ends_of_edges(edges))
-    arcs = _rank(ends)
+    ends, open_arcs = _cut_ends(edges)
+    arcs = _rank(ends, open_arcs)
     heavy = F.when(F.col("end").isNotNull() & ~F.col("leaf"), F.col("end"))
     paths = arcs.groupBy("v").agg(
         F.count(F.lit(1)).alias("d"), F.min(heavy).alias("lo"), F.max(heavy).alias("hi"), F.count(heavy).alias("n"),
@@ -172,7 +187,7 @@ def prune(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     alone = F.when(F.col("leaf").isNull(), F.col("ring")).when(F.col("d") == 1, F.least("v", "leaf")).otherwise(F.col("leaf"))
     paths = cut(paths.select("v", F.coalesce("lo", alone).alias("parent"), F.when((F.col("n") == 2) & (F.col("lo") < F.col("hi")), F.col("hi")).alias("other")))
     release(arcs)
-    new = paths.where("other is not null").select(F.col("parent").alias("a"), F.col("other").alias("b")).distinct()
+    new = paths.where("other is not null").select(F.col("parent").alias("a"), F.col("other").alias("b"))
     rest, (left, _) = _cut_edges(ends.where("da is null and db is null").select("a", "b").unionByName(new).distinct())
     release(ends)
     return paths.where("v <> parent").select(F.col("v").alias("child"), "parent"), rest, left
@@ -195,10 +210,10 @@ def pruned_components(edges: DataFrame, least_shrink: float = 0.05) -> DataFrame
         layers.append(layer)
         if left > (1 - least_shrink) * before:
             break
-    labels = cut(star_components(now)) if left else now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    labels = cut(_stars(now, (left, None))) if left else now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     for layer in reversed(layers):
         known = layer.join(labels.withColumnRenamed("id", "parent").hint("merge"), "parent", "left")
-        known = cut(known.select("child", "parent", F.coalesce("root", "parent").alias("root"), F.col("root").isNull().alias("fresh")))
-        own = known.where("fresh").select(F.col("parent").alias("id"), "root").distinct()
-        labels = labels.unionByName(known.select(F.col("child").alias("id"), "root")).unionByName(own)
+        fresh = F.when(F.col("root").isNull(), F.struct(F.col("parent").alias("id"), F.col("parent").alias("root")))
+        own = F.array(F.struct(F.col("child").alias("id"), F.coalesce("root", "parent").alias("root")), fresh)
+        labels = labels.unionByName(cut(known.select(F.explode(F.array_compact(own)).alias("s")).select("s.id", "s.root").distinct()))
     return labels

@@ -151,3 +151,19 @@ def test_stored_ranges_keep_old_components_where_they_are(spark):
     before = {x.id: x.split for x in assign_splits(old, g_old, "fruit").collect()}
     after = {x.id: x.split for x in assign_splits(new, g_new, "fruit", ranges=ranges).collect()}
     assert len(after) == 7002 and all(after[i] == s for i, s in before.items())
+
+
+def test_a_jump_takes_one_shuffle_and_the_driver_few_cuts(spark, monkeypatch):
+    """What the driver holds of p1_found follows the number of shuffles and cuts."""
+    from granary.llm import components as C
+
+    cuts, once, plain = [], C.cut_and_count, C.cut
+    monkeypatch.setattr(C, "cut_and_count", lambda df, **k: (cuts.append(1), once(df, **k))[1])
+    monkeypatch.setattr(C, "cut", lambda df: (cuts.append(1), plain(df))[1])
+    path = [(i, i + 1) for i in range(100)]
+    df = spark.createDataFrame(path + [(200 + i, 200 + (i + 1) % 5) for i in range(5)], "a bigint, b bigint")
+    arcs = C._arcs(plain(C._ends_of_edges(C.canonical(df))))
+    plan = C._jump(arcs)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+    assert groups((r.id, r.root) for r in pruned_components(df).collect()) == groups(brute(df.collect()).items())
+    assert len(cuts) <= 10, len(cuts)
